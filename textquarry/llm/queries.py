@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
 
-from . import binary_ids, decontam, langid, urlfilter
+from . import binary_ids, decontam, langid, toxicity, urlfilter
 
 QUERIES = {
     "op2_benchmark_decontamination": decontam.op2_benchmark_decontamination,
     "op3_url_filters": urlfilter.op3_url_filters,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_language_id": langid.op8_language_id,
     "op9_token_files": binary_ids.op9_token_files,
 }
