@@ -60,7 +60,8 @@ def ascii_lower(c: Column) -> Column:
 
 def crc_mod(c: Column | str, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string").cast("binary")) % n
+    text = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % n
 
 
 def batches(it: Iterator, cut: int = BATCH_BYTES) -> Iterator:

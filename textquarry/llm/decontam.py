@@ -182,7 +182,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     found = find_contamination(docs, benchmark, text=text, **how)
     if mode == "documents":
         return found.filter("n_hit = 0").select(*docs.columns)
-    cut = F.udf(lambda t, s: cut_spans(t, [(x["start"], x["end"]) for x in s]), "string", useArrow=True)
+    cut = F.udf(lambda t, s: cut_spans(t, [(x["start"], x["end"]) for x in s]) if t and s else t, "string", useArrow=True)  # Spark calls it for every row
     kept = found.filter("n_hit = 0 or n_hit < n_words")
     return kept.withColumn(text, F.when(F.col("n_hit") > 0, cut(F.col(text), F.col("spans"))).otherwise(F.col(text))).select(*docs.columns)
 
