@@ -54,8 +54,13 @@ NAMES = frozenset(
 )
 
 
+#: Classes that tell what a page has or lacks, not what an element is.
+STATES = ("has-", "with-", "no-", "without-", "is-", "js-")
+
+
 def _words(value: str) -> set[str]:
-    return set(WORD.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", value).lower()))
+    names = (n for n in value.split() if not n.lower().startswith(STATES))
+    return set(WORD.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", " ".join(names)).lower()))
 
 
 def _region(tag: str, attributes: str, inside_main: bool) -> str | None:
@@ -71,8 +76,10 @@ def _region(tag: str, attributes: str, inside_main: bool) -> str | None:
                 return "dropped"
             if value.lower() == "main":
                 return "main"
-        if key in ("class", "id") and tag not in ("body", "html", "main") and _words(value) & NAMES:
-            return "dropped"
+        if key in ("class", "id") and tag not in ("body", "html", "main"):
+            named = _words(value) & NAMES
+            if named - {"header"} or named and not inside_main:  # an article's own header holds its title
+                return "dropped"
     return "main" if tag in MAIN else None
 
 
