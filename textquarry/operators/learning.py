@@ -78,13 +78,14 @@ def fit(labeled: DataFrame, text: str = "text", label: str = "label", max_featur
     both = SQLTransformer(statement="SELECT *, concat(_w1, _w2) AS _terms FROM __THIS__")
     prepared = both.transform(pairs.transform(words.transform(rows)))
     counts = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features).fit(prepared)
-    counted = counts.transform(prepared)
+    counted = counts.transform(prepared).select("_label", "_tf").persist()  # read by the document counts and by the features
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf.toArray() + 1
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_scaled")
     unit = Normalizer(inputCol="_scaled", outputCol="features", p=2.0)
     index = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
     train = unit.transform(scale.transform(index.transform(counted)))
     lr = LogisticRegression(featuresCol="features", labelCol="_y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, family="multinomial").fit(train)
+    counted.unpersist()
     return TextClassifier(PipelineModel([words, pairs, both, counts, scale, unit, lr]), list(index.labels))
 
 
