@@ -9,8 +9,8 @@ sum over common d of 1 / sum over d' of max(x_d'/x_d, y_d'/y_d), which is the pl
 1. Texts whose words are the same are one node (least id), so exact copies never meet in a bucket.
 2. ``BANDS`` bands of ``REGISTERS / BANDS`` registers; in every bucket each node is paired with the bucket's least node only (no pairs within
    a group), the signatures' estimate drops chance meetings, and exact J_P >= ``threshold`` on whole texts decides.
-3. Links make components. Buckets that still hold several components are searched in blocks of at most ``BLOCK`` nodes against each other
-   by signature, for pairs of different components; those are verified in the same way. So no bucket is capped, nor does one lie in one task.
+3. Links make components. Buckets that still hold several components are searched in blocks of at most ``BLOCK`` nodes (or ``BLOCK_BYTES`` of text)
+   against each other, for likely pairs of different components, which are verified in place. So no bucket is capped, nor does one lie in one task.
 
 Result classes: class_id is the least id of the component. Null and wordless texts have no shingles and are each a class of their own by id.
 Rows that share an id are one document. Rows with a null id take part by their words; alone in a class they get a null class_id.
@@ -34,7 +34,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS, BANDS = 64, 16
 LIKELY = 0.6  # an estimate from 64 registers, 4 standard deviations below the threshold
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 U = np.uint64
 _GOLD, _A, _B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -55,6 +55,8 @@ class Shingler:
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes, ascending, and their counts."""
+        if not words:
+            return np.zeros(0, U), np.zeros(0, np.int64)
         cache = self.cache
         if len(cache) > self.limit:
             cache.clear()
@@ -125,23 +127,23 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a text: id, words (hash of its words, null without words), sig (registers), bands."""
+    """A row a text: id, size (bytes), words (hash of its words, null without words), sig (registers), bands."""
     bounded_batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for b in batches(it):
-            digest, sigs, n = [], [], []
+            digest, sigs, size = [], [], []
             for t in as_bytes(b.column("text")):
                 w = words_of(t)
-                n.append(len(w))
+                size.append(len(t or b""))
                 digest.append(hashlib.blake2b(b" ".join(w), digest_size=16).hexdigest() if w else None)
                 sigs.append(probminhash(*shingle(w)) if w else np.zeros(REGISTERS, np.uint32))
             s = np.stack(sigs) if sigs else np.zeros((0, REGISTERS), np.uint32)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * BANDS, pa.int32()), pa.array(band_keys(s).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest, pa.string()), pa.array([x.tobytes() for x in s], pa.binary()), keys], ["id", "words", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array([x.tobytes() for x in s], pa.binary()), keys], ["id", "size", "words", "sig", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, words string, sig binary, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, size bigint, words string, sig binary, bands array<bigint>")
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -176,32 +178,65 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _rest(buckets: DataFrame, tried: DataFrame, linked: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Likely pairs of different components in buckets of three or more nodes that hold several components."""
-    rows = buckets.filter("n > 2").join(linked, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Verified links between components, from buckets of three or more nodes that hold several.
+
+    A task has a pair of blocks of one bucket. It takes the likely pairs of different components, the likeliest first, and verifies them on
+    whole texts unless links found before have joined their components; so a group of near copies costs about a check a member, and only links leave the task.
+    A pair that meets in several buckets is taken in its first band alone.
+    """
+    rows = buckets.filter("n > 2").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = written(rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band"), "mixed")
-    rows = rows.join(mixed, "band", "left_semi").join(sigs, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = written(rows.join(mixed, "band", "left_semi"), "mixed")
+    needed = rows.select(F.col("node").alias("id")).distinct()
+    texts = written(docs.join(needed, "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text")), "texts")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     # a node goes to every pair of blocks that its own is one of; with one block, to that one
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    full = rows.join(sigs, "node").join(texts, "node")
 
     def run(key, t):
-        i, j = key[1].as_py(), key[2].as_py()
-        node, comp, mine = (t.column(c).to_numpy() for c in ("node", "component", "mine"))
+        band, i, j = (x.as_py() for x in key)
+        node, comp, mine, head = (t.column(c).to_numpy() for c in ("node", "component", "mine", "head"))
         s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+        keys = band_keys(s)
+        here = int(np.argmax(keys[0] == band))
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        pairs, likely = [], []
         for k in left:
-            to = right[(comp[right] != comp[k]) & ((node[right] < node[k]) | (i != j))]
-            if len(to):
-                to = to[(s[to] == s[k]).mean(1) >= LIKELY]
-                out.append((np.maximum(node[k], node[to]), np.minimum(node[k], node[to])))
-        return pa.table({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
-
-    found = rows.select("band", "i", "j", "node", "component", "mine", "sig").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
-    return found.distinct().join(tried, ["a", "b"], "left_anti")
+            to = right[(comp[right] != comp[k]) & ((node[right] < node[k]) | (i != j)) & (node[right] != head[0])]
+            if len(to) and node[k] != head[0]:
+                alike = (s[to] == s[k]).mean(1)
+                ok = (alike >= LIKELY) & ((keys[to] == keys[k]).argmax(1) == here)
+                pairs.append(np.stack([np.full(int(ok.sum()), k), to[ok]], 1))
+                likely.append(alike[ok])
+        links: list[tuple[int, int]] = []
+        if pairs:
+            order = np.argsort(-np.concatenate(likely), kind="stable")
+            text, shingle = t.column("text"), Shingler()
+            up = {int(c): int(c) for c in np.unique(comp)}
+            of: dict[int, tuple] = {}
+
+            def root(c: int) -> int:
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            def shingles(k: int):
+                if k not in of:
+                    of[k] = shingle(words_of(text[k].as_py().encode()))
+                return of[k]
+
+            for x, y in np.concatenate(pairs)[order].tolist():
+                cx, cy = root(int(comp[x])), root(int(comp[y]))
+                if cx != cy and similarity(shingles(x), shingles(y)) >= threshold:
+                    up[max(cx, cy)] = min(cx, cy)
+                    links.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return full.select("band", "i", "j", "node", "component", "mine", "head", "sig", "text").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -210,17 +245,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     copies = written(sk.filter("words is not null").groupBy("words").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "copies")
     # a node is the least id of texts of the same words; texts without any id can't be looked up and stay copies of each other only
-    sigs = written(sk.join(copies.filter("least is not null").select(F.col("least").alias("id"), "words"), ["id", "words"]).groupBy(F.col("id").alias("node")).agg(F.min("sig").alias("sig"), F.min("bands").alias("bands")), "nodes")
-    bands = sigs.select("node", F.explode("bands").alias("band"))
-    heads = written(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
-    buckets = written(bands.join(heads, "band"), "buckets")
+    sigs = written(sk.join(copies.filter("least is not null").select(F.col("least").alias("id"), "words"), ["id", "words"]).groupBy(F.col("id").alias("node")).agg(F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.max("size").alias("size")), "nodes")
+    bands = sigs.select("node", "size", F.explode("bands").alias("band"))
+    heads = written(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1"), "heads")
+    buckets = written(bands.drop("size").join(heads, "band"), "buckets")
     tried = written(buckets.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "tried")
     sigs = sigs.select("node", "sig")
     first = written(_verified(_alike(tried, sigs), plain, threshold), "links")
     linked = components(first)
-    more = written(_rest(buckets, tried, linked, sigs), "rest")
+    more = written(_rest(buckets, linked, sigs, plain, threshold), "rest")
     if more.take(1):
-        linked = components(first.union(written(_verified(more, plain, threshold), "links")))
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))  # the stars found so far, not all links again
     of_words = copies.join(linked.withColumnRenamed("node", "least"), "least", "left").select("words", F.coalesce("component", "least").alias("class"))
     # rows that share an id are one document
     return sk.select("id", "words").join(of_words, "words", "left").select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id")).withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(False)))
