@@ -6,7 +6,7 @@ side adaptive execution can split), and ends in a written table: no lineage grow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -14,17 +14,18 @@ from .common import drop_written, written
 MAX_ROUNDS = 64
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return r["n"], r["x"]
+def _measured(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges, written, and their number and checksum, taken while they are written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+    return out, (seen.get["n"], seen.get["x"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """``links``: columns a, b (bigint). Returns node, component: every linked node and the least node it is connected with."""
     spark = links.sparkSession
     clean = links.filter("a is not null and b is not null and a <> b")
-    edges = written(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(edges)
+    edges, state = _measured(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
@@ -33,10 +34,10 @@ def components(links: DataFrame) -> DataFrame:
         large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        new = written(small.distinct(), "edges")
+        new, now = _measured(small.distinct())
         for t in (edges, least, large, low):
             drop_written(spark, t)
-        edges, before, state = new, state, _state(new)
+        edges, before, state = new, state, now
         if state == before:
             break
     else:
