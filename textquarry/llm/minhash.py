@@ -178,6 +178,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _likely_pairs(key, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (places in the table) of different components that are likely alike and meet first in this band, and their estimates."""
+    band, i, j = (x.as_py() for x in key)
+    node, comp, mine, head = (t.column(c).to_numpy() for c in ("node", "component", "mine", "head"))
+    s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+    keys = band_keys(s)
+    here = int(np.argmax(keys[0] == band))
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    pairs, likely = [np.empty((0, 2), np.int64)], [np.empty(0)]
+    for k in left:
+        to = right[(comp[right] != comp[k]) & ((node[right] < node[k]) | (i != j)) & (node[right] != head[0])]
+        if len(to) and node[k] != head[0]:
+            alike = (s[to] == s[k]).mean(1)
+            ok = (alike >= LIKELY) & ((keys[to] == keys[k]).argmax(1) == here)
+            pairs.append(np.stack([np.full(int(ok.sum()), k), to[ok]], 1))
+            likely.append(alike[ok])
+    return np.concatenate(pairs), np.concatenate(likely)
+
+
 def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Verified links between components, from buckets of three or more nodes that hold several.
 
@@ -188,32 +207,26 @@ def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, docs: DataFram
     rows = buckets.filter("n > 2").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = written(rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band"), "mixed")
     rows = written(rows.join(mixed, "band", "left_semi"), "mixed")
-    needed = rows.select(F.col("node").alias("id")).distinct()
-    texts = written(docs.join(needed, "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text")), "texts")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     # a node goes to every pair of blocks that its own is one of; with one block, to that one
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    full = rows.join(sigs, "node").join(texts, "node")
+    names = ["band", "i", "j", "node", "component", "mine", "head", "sig"]
+
+    def involved(key, t):
+        """The rows that any likely pair holds: only their texts are sent."""
+        return t.take(pa.array(np.unique(_likely_pairs(key, t)[0]))).select(names)
+
+    kind = "band bigint, i int, j int, node bigint, component bigint, mine int, head bigint, sig binary"
+    some = written(rows.join(sigs, "node").select(*names).groupBy("band", "i", "j").applyInArrow(involved, kind), "likely")
+    texts = written(docs.join(some.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text")), "texts")
 
     def run(key, t):
-        band, i, j = (x.as_py() for x in key)
-        node, comp, mine, head = (t.column(c).to_numpy() for c in ("node", "component", "mine", "head"))
-        s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
-        keys = band_keys(s)
-        here = int(np.argmax(keys[0] == band))
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        pairs, likely = [], []
-        for k in left:
-            to = right[(comp[right] != comp[k]) & ((node[right] < node[k]) | (i != j)) & (node[right] != head[0])]
-            if len(to) and node[k] != head[0]:
-                alike = (s[to] == s[k]).mean(1)
-                ok = (alike >= LIKELY) & ((keys[to] == keys[k]).argmax(1) == here)
-                pairs.append(np.stack([np.full(int(ok.sum()), k), to[ok]], 1))
-                likely.append(alike[ok])
+        node, comp = (t.column(c).to_numpy() for c in ("node", "component"))
+        pairs, likely = _likely_pairs(key, t)
         links: list[tuple[int, int]] = []
-        if pairs:
-            order = np.argsort(-np.concatenate(likely), kind="stable")
+        if len(pairs):
+            order = np.argsort(-likely, kind="stable")
             text, shingle = t.column("text"), Shingler()
             up = {int(c): int(c) for c in np.unique(comp)}
             of: dict[int, tuple] = {}
@@ -229,14 +242,14 @@ def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, docs: DataFram
                     of[k] = shingle(words_of(text[k].as_py().encode()))
                 return of[k]
 
-            for x, y in np.concatenate(pairs)[order].tolist():
+            for x, y in pairs[order].tolist():
                 cx, cy = root(int(comp[x])), root(int(comp[y]))
                 if cx != cy and similarity(shingles(x), shingles(y)) >= threshold:
                     up[max(cx, cy)] = min(cx, cy)
                     links.append((int(node[x]), int(node[y])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return full.select("band", "i", "j", "node", "component", "mine", "head", "sig", "text").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return some.join(texts, "node").select(*names, "text").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
