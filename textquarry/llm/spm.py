@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_bytes, batches, bounded_batches, table
-from .minhash import U, mix
+from .minhash import _GOLD, U, mix
 
 DROPOUT, VARIANTS, SEED = 0.1, 4, 2026
-CACHE_RUNS = 1_500_000
+CACHE_RUNS = 1_000_000
 FOUND = ("ids", "n_ids")
 SPACE = "▁"
 _RUN = re.compile("[ ]*[^ \n]+|[ ]+|\n")
@@ -50,6 +50,11 @@ class Vocabulary:
         if any(len(p) > 1 and "\n" in p for p, ok in zip(self.pieces, plain, strict=True) if ok):
             raise ValueError("this vocabulary has pieces that reach over a line's end")
         self.ids = {p: i for i, p in enumerate(self.pieces) if plain[i]}
+        self.of_code = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.of_code[ord(p)] = i
+        self.of_code[ord(" ")], self.of_code[ord(SPACE)] = self.ids.get(SPACE, -1), -1
         byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.byte = np.array([byte[b] for b in range(256)], np.int32)
         self.spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() if plain[i] else b"" for i, p in enumerate(self.pieces)]
@@ -92,18 +97,27 @@ class Vocabulary:
             at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
         return out
 
-    def symbols(self, run: str) -> list[int]:
-        """The piece of each character; -1 for those without one, and for U+2581 itself."""
-        get = self.ids.get
-        return [get(SPACE, -1) if c == " " else -1 if c == SPACE else get(c, -1) for c in run]
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        """The piece of each character (code points); -1 for those without one, and for U+2581 itself."""
+        return self.of_code[codes]
+
+
+def _codes(runs: list[str]) -> np.ndarray:
+    """Code points of runs of one length, a row a run."""
+    return np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).reshape(len(runs), -1)
 
 
-def _key(seed: int, variant: int, run: str) -> int:
-    return int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8, key=f"{seed}:{variant}".encode()).digest(), "little")
+def _keys(seed: int, variants: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of (seed, variant, run) for each row."""
+    key = int.from_bytes(hashlib.blake2b(str(seed).encode(), digest_size=8).digest(), "little")
+    h = mix(variants.astype(U) * _GOLD + U(key))
+    for j in range(codes.shape[1]):
+        h = mix(h + codes[:, j].astype(U) * _GOLD + U(1))
+    return h
 
 
-def merge_runs(v: Vocabulary, runs: list[tuple[int, str]], seed: int, dropout: float) -> list[np.ndarray]:
-    """Ids of each (variant, run), by the agenda with keyed dropout, side by side for runs of one length."""
+def merge_runs(v: Vocabulary, runs: list[tuple[int, str]], seed: int, dropout: float) -> list[bytes]:
+    """Ids (little-endian int32) of each (variant, run), by the agenda with keyed dropout, side by side for runs of one length."""
     out: list = [None] * len(runs)
     by_length: dict[int, list[int]] = {}
     for k, (_, r) in enumerate(runs):
@@ -112,12 +126,15 @@ def merge_runs(v: Vocabulary, runs: list[tuple[int, str]], seed: int, dropout: f
     for n, members in sorted(by_length.items()):
         for lo in range(0, len(members), max(1, 200_000 // n)):
             part = members[lo : lo + max(1, 200_000 // n)]
-            sym = np.array([v.symbols(runs[k][1]) for k in part], np.int32).reshape(len(part), n)
+            codes = _codes([runs[k][1] for k in part])
+            sym = v.symbols(codes)
             if n > 1:
-                key = np.array([_key(seed, runs[k][0], runs[k][1]) for k in part], U) if dropout > 0 else None
-                _agenda(v, sym, key, bound)
-            for row, k in enumerate(part):
-                out[k] = _ids(v, runs[k][1], sym[row])
+                _agenda(v, sym, _keys(seed, np.array([runs[k][0] for k in part]), codes) if dropout > 0 else None, bound)
+            ends = np.cumsum((sym >= 0).sum(1)) * 4
+            ids, odd, at = sym[sym >= 0].astype("<i4").tobytes(), (sym == -1).any(1).tolist(), 0
+            for row, (k, end) in enumerate(zip(part, ends.tolist(), strict=True)):
+                out[k] = _with_bytes(v, runs[k][1], sym[row]) if odd[row] else ids[at:end]
+                at = end
     return out
 
 
@@ -168,16 +185,15 @@ def _agenda(v: Vocabulary, sym: np.ndarray, key: np.ndarray | None, bound) -> No
             cost[a[has], p], joined[a[has], p] = c, j
 
 
-def _ids(v: Vocabulary, run: str, sym: np.ndarray) -> np.ndarray:
-    if (sym != -1).all():
-        return sym[sym >= 0]
+def _with_bytes(v: Vocabulary, run: str, sym: np.ndarray) -> bytes:
+    """Ids of a run some of whose characters have no piece."""
     out: list[int] = []
     for c, x in zip(run, sym.tolist(), strict=True):
         if x >= 0:
             out.append(x)
         elif x == -1:
             out += v.byte[list(c.encode())].tolist()
-    return np.array(out, np.int32)
+    return np.array(out, "<i4").tobytes()
 
 
 def runs_of(text: str) -> list[str]:
@@ -209,7 +225,7 @@ class Encoder:
             new.update(((k, r), None) for r in set(rs) if r not in cache)
         todo = list(new)
         for (k, r), ids in zip(todo, merge_runs(self.v, todo, self.seed, self.dropout), strict=True):
-            self.caches[k][r] = ids.astype("<i4").tobytes()
+            self.caches[k][r] = ids
         return [b"".join(map(self.caches[k].__getitem__, rs)) for k, rs in zip(which, runs, strict=True)]
 
 
