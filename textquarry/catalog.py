@@ -289,7 +289,9 @@ def _(spark, d):
     return corpus(spark, d).select("_row_id", "uid")
 
 
-NOW = F.lit("2024-01-01T00:00:00Z")
+
+def now():
+    return F.lit("2024-01-01T00:00:00Z")
 
 
 @query("union_align_sources", f""", m as (
@@ -298,16 +300,16 @@ NOW = F.lit("2024-01-01T00:00:00Z")
  select uid, text, source, label, source_type, extra from m""")
 def _(spark, d):
     docs = corpus(spark, d)
-    a = collect.unified(docs, "docs", "hf_dataset", F.col("text"), F.col("label"), F.lit(None).cast("string"), collected_at=NOW).drop("_row_id")
+    a = collect.unified(docs, "docs", "hf_dataset", F.col("text"), F.col("label"), F.lit(None).cast("string"), collected_at=now()).drop("_row_id")
     chat = table(spark, d, "conversations").withColumn("_row_id", (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint"))
-    b = collect.unified(chat, "chat", "api", F.col("text"), F.col("role"), F.lit(None).cast("string"), collected_at=NOW).drop("_row_id").withColumn("extra", F.lit("x"))
+    b = collect.unified(chat, "chat", "api", F.col("text"), F.col("role"), F.lit(None).cast("string"), collected_at=now()).drop("_row_id").withColumn("extra", F.lit("x"))
     return collect.merge([a, b]).select("uid", "text", "source", "label", "source_type", "extra")
 
 
 @query("export_filter", f" select _row_id, {s_strip('text')} as text, label from corpus where language in ('en', 'de') and source = 'src3' and not {s_blank('text')}")
 def _(spark, d):
     c = corpus(spark, d)
-    out = collect.from_export(c, "src3", "text", "label", filters=[{"column": "language", "op": "in", "value": ["en", "de"]}, {"column": "source", "op": "eq", "value": "src3"}], collected_at=NOW)
+    out = collect.from_export(c, "src3", "text", "label", filters=[{"column": "language", "op": "in", "value": ["en", "de"]}, {"column": "source", "op": "eq", "value": "src3"}], collected_at=now())
     return out.select("_row_id", "text", "label")
 
 
@@ -626,7 +628,7 @@ _STRATEGY_SQL = "case policy " + " ".join(f"when '{p.name}' then '{p.strategy}'"
 
 @query("rewrite_union", JUDGED + f" select uid, text, label, source from corpus union all select substr(sha256('rewrite|' || j.uid || '|' || {_STRATEGY_SQL} || '|0'), 1, 16), cleaned, '{R.LABEL}', source || ':rewrite' from judged j join corpus using (_row_id) where reject = ''")
 def _(spark, d):
-    return R.run(corpus(spark, d), OPTIONS, collected_at=NOW).select("uid", "text", "label", "source")
+    return R.run(corpus(spark, d), OPTIONS, collected_at=now()).select("uid", "text", "label", "source")
 
 
 # learning
