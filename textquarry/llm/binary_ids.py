@@ -17,6 +17,7 @@ Null text is empty. Null ids come first. Repeated ids stay, ordered by the hash
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,12 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, bounded_batches, shared_folder, table
+from .common import BATCH_BYTES, as_bytes, batches, bounded_batches, shared_folder, table
 
 MAGIC = b"TQEFIDS1"
 SAMPLE = 256
 MAX_IDS = 64 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
+ENCODE_AT_ONCE = 4_000
 END_ID = 1
 
 
@@ -136,31 +138,71 @@ def _fs(path: str):
 class Encoder:
     """Encodes texts through the tokenizers library, each distinct run between spaces or newlines once.
 
-    White space separates tokens in this vocabulary and no normalisation reaches across a space, so a text's ids are those of its runs.
+    White space separates tokens in this vocabulary and no normalisation reaches across a space, so a text's ids are those of its runs. A run of letters is one
+    word of the vocabulary, whose last id is marked as a word's end; such runs go to the library many at once, as one text, and its ids are
+    cut at the marks. Signs after a run of letters are a word of their own.
     """
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(tokenizer_file)
         kind = (self.t.pre_tokenizer, self.t.normalizer)
         if self.t.encode("a b", add_special_tokens=False).ids != self.t.encode("a\n  b", add_special_tokens=False).ids or None in kind:
             raise ValueError("this vocabulary keeps white space; its texts can't be encoded run by run")
+        vocab = self.t.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
 
+    def _one_by_one(self, runs: list[bytes]) -> None:
+        for r, e in zip(runs, self.t.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False), strict=True):
+            self.cache[r] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _words(self, runs: list[bytes]) -> None:
+        """Runs of letters."""
+        ids = np.array(self.t.encode_batch_fast([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(runs) or (len(cuts) and cuts[-1] != len(ids)):
+            self._one_by_one(runs)
+            return
+        data, at = ids.tobytes(), 0
+        for r, end in zip(runs, (cuts * 4).tolist(), strict=True):
+            self.cache[r] = data[at:end]
+            at = end
+
+    def learn(self, runs: list[bytes]) -> None:
+        words: dict[bytes, None] = {}
+        signed, other, cache = [], [], self.cache
+        for r in runs:
+            core = r.rstrip(b".,;:!?")
+            if core.isalpha() or not core.isascii() and core.decode().lower().isalpha():
+                if core not in cache:
+                    words[core] = None
+                if core is not r and len(core) < len(r):
+                    signed.append((r, core, r[len(core) :]))
+            else:
+                other.append(r)
+        tails = list({t for _, _, t in signed if t not in cache})
+        todo = list(words)
+        for i in range(0, len(todo), ENCODE_AT_ONCE):
+            self._words(todo[i : i + ENCODE_AT_ONCE])
+        for part in (tails, other):
+            for i in range(0, len(part), ENCODE_AT_ONCE):  # an encoding is far larger than its ids
+                self._one_by_one(part[i : i + ENCODE_AT_ONCE])
+        for r, core, tail in signed:
+            cache[r] = cache[core] + cache[tail]
+
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        out = []
-        for t in texts:
-            runs = t.replace(b"\n", b" ").split(b" ") if t else []
-            if new := list({r for r in runs if r not in cache}):
-                for r, e in zip(new, self.t.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-                    cache[r] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(cache.__getitem__, runs)))
-        return out
+        runs = [t.replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
+        if new := list({r for rs in runs for r in rs if r not in cache}):
+            self.learn(new)
+        return [b"".join(map(cache.__getitem__, rs)) for rs in runs]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, width: int = 2, max_ids: int = MAX_IDS) -> list[dict]:
@@ -188,7 +230,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str
             row = {"part": part, "seq": seq, "path": f"{folder}/ids-{part:06d}-{seq:04d}.efid", "n_docs": len(doc_ids), "n_ids": sum(lengths)}
             return pa.RecordBatch.from_pylist([row])
 
-        for b in batches(it):
+        for b in batches(it, BATCH_BYTES // 4):
             coded = encode(as_bytes(b.column("text")))
             for i, x in zip(b.column("id").to_pylist(), coded, strict=True):
                 doc_ids.append(i)
