@@ -548,6 +548,24 @@ def test_base_scores_equal_brute_force(spark, chunk):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_scores_use_every_context(spark):
+    r = random.Random(3)
+    texts = ["".join(map(chr, r.choices(range(0x4E00, 0x4E00 + 6000), k=400))) for _ in range(60)]  # more than 16,384 contexts
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    grams = [Counter() for _ in range(4)]
+    for i, t in enumerate(texts):
+        s = b"\xff" * 3 + t.encode() + b"\xff"
+        for k in range(3, len(s) if i % 4 else 0):
+            for d in range(4):
+                grams[d][s[k - d : k + 1]] += 1
+    assert len({g[:-1] for g in grams[3]}) > 16_384
+    arrays = [tuple(np.array(x, np.int64) for x in zip(*sorted((int.from_bytes(k, "big"), n) for k, n in g.items()), strict=True)) for g in grams]
+    want = ctw.Scorer(*ctw.ContextTree(arrays).parts())([t.encode() for t in texts])
+    for options in ({}, {"chunk_bytes": 9000, "buckets": 7}):
+        got = ctw.score_texts(docs, ctw.F.col("doc_id") % 4 != 0, **options).orderBy("doc_id").collect()
+        assert [x["score"] for x in got] == pytest.approx(want.tolist(), rel=1e-6)
+
+
 # pipeline
 
 

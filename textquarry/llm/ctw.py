@@ -8,11 +8,13 @@ order: 4-byte counts are summed by Spark over all training texts, and P_w follow
 w e + (1 - w) (the child's), e the node's KT estimate and w = P_e / (2 P_w), down to the leaf. A text's probability has all its bytes
 and one end; before the text stand three ends. -log2 of it by the bytes is the code length a byte.
 
-The tree keeps at most ``CONTEXTS`` most frequent contexts at depths 2 and 3 (those left over share one leaf under their parent, with
-their counts), so the model has at most (2 * CONTEXTS + 257) * 256 floats whatever the corpus; only that is broadcast.
+The tree keeps every context that the training texts hold; no part of it that grows with them is broadcast. Texts are dealt to chunks of about
+``CHUNK_BYTES``; each chunk sends its distinct 4-byte codes with their training counts to buckets by the last two bytes of the context, so a bucket holds whole
+subtrees from depth 2 down. A first pass sums the buckets' log P_w into the 257 nodes above them (65,536 pairs of floats, for all prefixes), a second
+gives each chunk the probabilities of the codes it sent.
 
-Word counts have no bound and are never broadcast: texts are dealt to chunks of about ``CHUNK_BYTES``, each chunk sends its distinct words, gets their
-counts back, and scores its texts. A word moves once a chunk, however frequent it is.
+Word counts are never broadcast either: each chunk sends its distinct words, gets their counts back, and scores its texts. A word or code moves once a chunk,
+however frequent it is.
 
 Null and empty texts have no words: one token (the end) and the end's probability. Null ids count as the empty id. Repeated rows are texts of their own.
 Without training texts all counts are 0.
@@ -25,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, bounded_batches, crc_mod, table, written
+from .common import as_bytes, bounded_batches, crc_mod, table, written
 
 DEPTH = 3
-CONTEXTS = 16_384
 CHUNK_BYTES = 12 << 20
+BUCKETS = 256
 END = 0xFF  # no byte of UTF-8
 _MARK = bytes([END]) * DEPTH
 
@@ -63,7 +66,7 @@ def _bit_counts(row: np.ndarray, byte: np.ndarray, n: np.ndarray, rows: int) ->
 
 
 class ContextTree:
-    """``grams``: for each depth d, arrays (context of d bytes * 256 + byte, count); contexts at depths 2 and 3 may be a selection."""
+    """The whole model in memory, for small corpora. ``grams``: for each depth d, arrays (context of d bytes * 256 + byte, count); contexts at depths 2 and 3 may be a selection."""
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
         keys, counts = [], []
@@ -131,16 +134,10 @@ class Scorer:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end."""
         out = np.empty(len(texts))
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size < 1 << 20):
-                size += len(texts[j]) + DEPTH
-                j += 1
-            codes, begins, _ = byte_contexts(texts[i:j])
+        for part in _slices(texts):
+            codes, begins, _ = byte_contexts(texts[part])
             lp = self.table[(self.at[codes >> 8].astype(np.int64) << 8) | (codes & 255)]
-            out[i:j] = np.add.reduceat(lp, begins, dtype=np.float64)
-            i = j
+            out[part] = np.add.reduceat(lp, begins, dtype=np.float64)
         return out
 
 
@@ -164,52 +161,128 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """code (four bytes), n over all texts; each task sums its own first."""
+def code_counts(texts: list[bytes], learns: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of the texts, sorted, and how often each stands in those that are learned from."""
+    codes, counts = [], []
+    for part in _slices(texts):
+        found, at = np.unique(byte_contexts(texts[part])[0], return_inverse=True)
+        weight = np.repeat(np.array(learns[part], float), [len(t) + 1 for t in texts[part]])
+        codes.append(found)
+        counts.append(np.bincount(at, weight, len(found)))
+    return _summed(codes, counts)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-        for b in batches(it):
-            if not b.num_rows:
-                continue
-            new, n = np.unique(byte_contexts([t or b"" for t in as_bytes(b.column("text"))])[0], return_counts=True)
-            both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            codes, counts = both, np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts)], ["code", "n"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+def _slices(texts: list[bytes]) -> Iterator[slice]:
+    """Slices of the texts of about 1 MB."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size < 1 << 20):
+            size += len(texts[j]) + DEPTH
+            j += 1
+        yield slice(i, j)
+        i = j
 
 
-def learn(docs: DataFrame, text: str = "text", contexts: int = CONTEXTS) -> ContextTree:
-    bounded_batches(docs.sparkSession)
-    grams = written(count_grams(docs, text), "grams")
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    both, at = np.unique(np.concatenate([np.empty(0, np.uint32), *codes]), return_inverse=True)
+    return both, np.bincount(at, np.concatenate([np.empty(0), *counts]), len(both)).astype(np.int64)
 
-    def depth(d: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = grams.groupBy(F.col("code").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        if d > 1:  # at most ``contexts`` contexts of up to 256 bytes each
-            top = rows.groupBy(F.expr("shiftright(code, 8)").alias("ctx")).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "ctx").limit(contexts)
-            rows = rows.withColumn("ctx", F.expr("shiftright(code, 8)")).join(F.broadcast(top), "ctx").select("code", "n")
-        got = rows.toArrow()
-        code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-        order = np.argsort(code)
-        return code[order].astype(np.int64), n[order]
 
-    return ContextTree([depth(d) for d in range(DEPTH + 1)])
+def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last two bytes of the context."""
+    return ((codes >> 8 & 0xFFFF).astype(np.int64) * 40503 & 0xFFFF) * buckets >> 16
 
 
-def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", contexts: int = CONTEXTS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+# A node's key is its context above the prefix of the byte, 8 bits; its parent's key is the same without the first byte.
+
+
+def _kt1(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return _log_kt(np.stack([n0, n1]).astype(float))
+
+
+def _up(keys: np.ndarray, n: np.ndarray, log_w: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys at ``depth``, counts, and the sum of the children's log P_w."""
+    k, at = np.unique(keys & (1 << 8 * (depth + 1)) - 1, return_inverse=True)
+    return k, np.stack([np.bincount(at, x, len(k)) for x in n]).astype(float), np.bincount(at, log_w, len(k)).astype(float)  # integers if empty
+
+
+def _inner(n: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log P_w of inner nodes, and w."""
+    own = _kt1(*n)
+    log_w = np.logaddexp(own, below) - np.log(2)
+    return log_w, np.exp(own - log_w - np.log(2))
+
+
+def _estimate(n: np.ndarray) -> np.ndarray:
+    return (n[1] + 0.5) / (n[0] + n[1] + 1)
+
+
+def subtrees(codes: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], tuple]:
+    """From the codes of some depth-2 contexts: (keys, w, estimate) at each depth from ``DEPTH`` to 2, and their sums at depth 1."""
+    c, n = codes[counts > 0].astype(np.int64), counts[counts > 0].astype(float)
+    byte = c & 255
+    nodes = np.concatenate([c - byte | 1 << i | byte >> 8 - i for i in range(8)])
+    k, at = np.unique(nodes, return_inverse=True)
+    bits, n = np.concatenate([byte >> 7 - i & 1 for i in range(8)]), np.tile(n, 8)
+    n = np.stack([np.bincount(at, n * (bits == x), len(k)) for x in (0, 1)]).astype(float)
+    log_w, levels = _kt1(*n), [(k, np.ones(len(k)), _estimate(n))]
+    for d in range(DEPTH - 1, 1, -1):
+        k, n, below = _up(k, n, log_w, d)
+        log_w, w = _inner(n, below)
+        levels.append((k, w, _estimate(n)))
+    return levels, _up(k, n, log_w, 1)
+
+
+def top_nodes(k: np.ndarray, n: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a, b for each key at depth 1: a bit is 1 with probability a + b (that of depth 2). From the sums at depth 1 of all subtrees."""
+    log_w, w = _inner(n, below)
+    w1, e1 = np.full(1 << 16, 0.5), np.full(1 << 16, 0.5)
+    w1[k], e1[k] = w, _estimate(n)
+    k, n, below = _up(k, n, log_w, 0)
+    w0, e0 = np.full(256, 0.5), np.full(256, 0.5)
+    w0[k], e0[k] = _inner(n, below)[1], _estimate(n)
+    w0, e0 = np.tile(w0, 256), np.tile(e0, 256)
+    return w0 * e0 + (1 - w0) * w1 * e1, (1 - w0) * (1 - w1)
+
+
+def log_probabilities(codes: np.ndarray, levels: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each code after the others. A node without counts has estimate 1/2, and so has all below it."""
+    c = codes.astype(np.int64)
+    byte, out = c & 255, np.zeros(len(c))
+    for i in range(8):
+        key, p = c - byte | 1 << i | byte >> 8 - i, np.full(len(c), 0.5)
+        for j, (k, w, e) in enumerate(levels):
+            if len(k):
+                x = key & (1 << 8 * (DEPTH - j + 1)) - 1
+                at = np.minimum(np.searchsorted(k, x), len(k) - 1)
+                p = np.where(k[at] == x, w[at] * e[at] + (1 - w[at]) * p, 0.5)
+        top = key & 0xFFFF
+        p = a[top] + b[top] * p
+        out += np.log10(np.where(byte >> 7 - i & 1, p, 1 - p))
+    return out.astype(np.float32)
+
+
+def _codes_of(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What each chunk sent to a bucket, and the sums."""
+    sent = [np.frombuffer(x, np.uint32) for x in t.column("codes").to_pylist()]
+    return sent, *_summed(sent, [np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()])
+
+
+def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
     """``train``: a condition on the rows that are learned from. Returns id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    model = learn(docs.filter("train"), contexts=contexts).parts()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(size // chunk_bytes) + 1
+    buckets = max(buckets, chunks // 8)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
 
     def vocabulary(key, t):
         seen: Counter = Counter()
-        for x, learns in zip(as_bytes(t.column("text")), t.column("train").to_pylist(), strict=True):
+        texts, train = as_bytes(t.column("text")), t.column("train").to_pylist()
+        for x, learns in zip(texts, train, strict=True):
             words = words_of(x)
             words.append(b"")  # the end
             if learns:
@@ -217,18 +290,48 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "tex
             else:
                 for w in words:
                     seen.setdefault(w, 0)
-        n = len(seen)
-        return pa.table({"chunk": pa.array(np.full(n, key[0].as_py())), "word": pa.array(list(seen.keys()), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    sent = dealt.groupBy("chunk").applyInArrow(vocabulary, "chunk bigint, word binary, n bigint")
+        codes, counts = code_counts(texts, train)
+        home = bucket_of(codes, buckets)
+        used, n = np.unique(home), len(seen)
+        mine = [home == b for b in used]
+        columns = {
+            "chunk": pa.array(np.full(n + len(used), key[0].as_py())),
+            "word": pa.array([*seen.keys(), *[None] * len(used)], pa.binary()),
+            "n": pa.array([*seen.values(), *[None] * len(used)], pa.int64()),
+            "bucket": pa.array([*[None] * n, *used.tolist()], pa.int64()),
+            "codes": pa.array([*[None] * n, *(codes[x].tobytes() for x in mine)], pa.binary()),
+            "counts": pa.array([*[None] * n, *(counts[x].tobytes() for x in mine)], pa.binary()),
+        }
+        return pa.table(columns)
+
+    sent = written(dealt.groupBy("chunk").applyInArrow(vocabulary, "chunk bigint, word binary, n bigint, bucket bigint, codes binary, counts binary"), "sent")
     same = W.partitionBy("word")  # at most a row a chunk, however frequent the word
-    counted = written(sent.select("chunk", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first")), "counts")
+    words = sent.filter("bucket is null")
+    counted = written(words.select("chunk", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first")), "counts")
     totals = counted.filter("first").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, v = totals["n"] or 0, totals["v"] or 0
-    shared = spark.sparkContext.broadcast(model)
     unit = float(np.log10(n_train + v + 1))
 
+    def roots(key, t):
+        k, n, below = subtrees(*_codes_of(t)[1:])[1]
+        return pa.table({"key": k, "n0": n[0], "n1": n[1], "below": below})
+
+    grams = sent.filter("bucket is not null").select("chunk", "bucket", "codes", "counts")
+    top = grams.groupBy("bucket").applyInArrow(roots, "key bigint, n0 double, n1 double, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toArrow()
+    key, n0, n1, below = (top.column(c).to_numpy() for c in ("key", "n0", "n1", "below"))
+    shared = spark.sparkContext.broadcast(top_nodes(key, np.stack([n0, n1]), below))
+
+    def answer(key, t):
+        parts, codes, counts = _codes_of(t)
+        lp = log_probabilities(codes, subtrees(codes, counts)[0], *shared.value)
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "lp": pa.array([lp[np.searchsorted(codes, x)].tobytes() for x in parts], pa.binary())})
+
+    answers = grams.groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, lp binary")
+    known = counted.select("chunk", "word", "c").unionByName(answers, allowMissingColumns=True)
+
     def score(key, left, right):
+        reply = right.column("bucket").is_valid()
+        replies, right = right.filter(reply), right.filter(pc.invert(reply))
         c = right.column("c").to_numpy()
         log_of = dict(zip(right.column("word").to_pylist(), np.log10(c + 1.0).tolist(), strict=True))
         texts = as_bytes(left.column("text"))
@@ -238,20 +341,22 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "tex
             words.append(b"")
             x = np.fromiter(map(log_of.__getitem__, words), float, len(words))
             n_tokens[i], n_known[i], base[i] = len(words), np.count_nonzero(x), x.sum() - len(words) * unit
-        s = scorer()(texts)
+        # a bucket's answer is in the order of the chunk's codes
+        codes = code_counts(texts, [False] * len(texts))[0]
+        home, lp = bucket_of(codes, buckets), np.empty(len(codes), np.float32)
+        for b, x in zip(replies.column("bucket").to_pylist(), replies.column("lp").to_pylist(), strict=True):
+            lp[home == b] = np.frombuffer(x, np.float32)
+        s = np.empty(len(texts))
+        for part in _slices(texts):
+            x, begins, _ = byte_contexts(texts[part])
+            found, at = np.unique(x, return_inverse=True)
+            s[part] = np.add.reduceat(lp[np.searchsorted(codes, found)][at], begins, dtype=np.float64)
         size = np.array([len(t) for t in texts])
         return pa.table({id_col: left.column("id"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(texts), n_train), "base_score": base, "score": s, "bits_per_byte": -s / np.log10(2) / np.maximum(size, 1)})
 
-    kept: list[Scorer] = []
-
-    def scorer() -> Scorer:
-        if not kept:
-            kept.append(Scorer(*shared.value))
-        return kept[0]
-
     kind = docs.schema["id"].dataType.simpleString()
     out = f"{id_col} {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("chunk").cogroup(counted.select("chunk", "word", "c").groupBy("chunk")).applyInArrow(lambda key, a, b: score(key, a, b), out)
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(lambda key, a, b: score(key, a, b), out)
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
