@@ -98,6 +98,28 @@ def test_large_hosts_are_cut_into_groups(spark):
     assert sorted(r["page_id"] for r in got) == list(range(40)) and all(r["text"].endswith(f"w {r['page_id']}") for r in got)
 
 
+@pytest.mark.parametrize("group_tokens, partitions", [(4 << 20, 1), (4 << 20, 5), (60, 1), (60, 3)])
+def test_repeats_are_found_wherever_a_host_is_cut(spark, group_tokens, partitions):
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choices(WORDS + [str(k) for k in range(200)], k=n))
+    quotes = [say(15) for _ in range(4)]
+    hosts = ["a", "b", "big", "c", "big", "big"]
+    data = [(i, f"http://{r.choice(hosts)}/{i}", "".join(f"<div>{x}</div>" for x in (say(r.randrange(0, 30)), r.choice(quotes), say(9)))) for i in range(50)]
+    data += [(100 + i, u, h) for i, (_, u, h) in enumerate(data[:12])] + [(200, "http://alone/", data[0][2]), (201, "http://alone/", data[0][2]), (202, "http://big/", None)]
+    want = {}
+    for name in {u.split("/")[2] for _, u, _ in data}:
+        own = [(i, html_extract.blocks(h or "")) for i, u, h in data if u.split("/")[2] == name]
+        want |= {i: x for (i, _), x in zip(own, html_extract.extract_pages([p for _, p in own]), strict=True)}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = html_extract.extract(spark.createDataFrame(data, "page_id bigint, url string, html string"), group_tokens=group_tokens).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(data) and {x["page_id"]: (x["text"], x["n_tokens"], x["n_boilerplate"]) for x in got} == want
+
+
 # op2
 
 

@@ -10,7 +10,9 @@ all tokens) mark what they cover as the host's boilerplate. Covered tokens go, u
 Inside a main region repeated passages stay: articles quote and copy each other, and the contract is to drop nothing of them.
 
 Pages are dealt by range of (host, hash of page id) in one shuffle, so that a host's pages meet without its whole weight in a task. The streams
-of at most ``GROUP_TOKENS`` tokens are searched at once; a larger host is searched in such groups.
+of at most ``GROUP_TOKENS`` tokens are searched at once. A host that this cuts (by a task's end, or by being larger) has several groups: each sends the
+64-bit hashes of its distinct runs of ``MIN_RUN`` tokens, with the stream that holds them, to buckets by hash, is told which of them stand in two different
+streams of the host, and covers those too. So what is found doesn't depend on where a host is cut.
 
 Null html gives an empty text. Cut-off or unbalanced mark-up closes at the end. White space inside a block becomes one space, blocks are joined by one.
 Repeated rows are extracted alike: pages with the same whole stream count as one page. Null urls share the empty host.
@@ -18,20 +20,24 @@ Repeated rows are extracted alike: pages with the same whole stream count as one
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, bounded_batches, table
+from .common import ascii_lower, bounded_batches, table, written
+from .minhash import U, mix
 
 MIN_RUN = 12
 GROUP_TOKENS = 4 << 20
+BUCKET_BYTES = 32 << 20  # of html, for each bucket of runs
 FOUND = ("text", "n_chars", "n_tokens", "n_boilerplate")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.S)
@@ -226,9 +232,17 @@ def extract_pages(pages: list[list[tuple[str, str]]], min_run: int = MIN_RUN) ->
     Streams hold the words of every block, each block opened by a token that names its region, so that short furniture such as menus makes
     long runs. Only open blocks of pages without a main region are cut by what is covered.
     """
-    streams = [[w for r, t in p for w in (f"\0{r}", *t.split(" "))] for p in pages]
+    streams = streams_of(pages)
+    return cut(pages, streams, repeated(streams, min_run))
+
+
+def streams_of(pages: list[list[tuple[str, str]]]) -> list[list[str]]:
+    return [[w for r, t in p for w in (f"\0{r}", *t.split(" "))] for p in pages]
+
+
+def cut(pages: list[list[tuple[str, str]]], streams: list[list[str]], repeats: list[np.ndarray]) -> list[tuple[str, int, int]]:
     out = []
-    for p, stream, covered in zip(pages, streams, repeated(streams, min_run), strict=True):
+    for p, stream, covered in zip(pages, streams, repeats, strict=True):
         if any(r == "main" for r, _ in p):
             text = " ".join(t for r, t in p if r == "main")
         else:
@@ -243,41 +257,140 @@ def extract_pages(pages: list[list[tuple[str, str]]], min_run: int = MIN_RUN) ->
     return out
 
 
+def _hash(x: str) -> int:
+    return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def run_hashes(host: str, streams: list[list[str]], min_run: int) -> list[np.ndarray]:
+    """For each stream the hashes of (host, run) for the runs of ``min_run`` tokens that begin at each of its tokens."""
+    number: dict[str, int] = {}
+    ids = [np.fromiter((number.setdefault(t, len(number)) for t in s), np.int64, len(s)) for s in streams]
+    names = np.fromiter(map(_hash, number), np.uint64, len(number))
+    out = []
+    for x in ids:
+        n = max(0, len(x) - min_run + 1)
+        h = np.full(n, _hash(host), np.uint64)
+        for i in range(min_run if n else 0):
+            h = mix(h ^ names[x[i : i + n]])
+        out.append(h)
+    return out
+
+
+def distinct_runs(streams: list[list[str]], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of a group's runs, and the stream that holds each: its hash, 0 where two different streams do."""
+    owners = np.fromiter((_hash(" ".join(s)) | 1 for s in streams), np.uint64, len(streams))
+    return _owned(np.concatenate([np.empty(0, np.uint64), *hashes]), np.repeat(owners, [len(h) for h in hashes]))
+
+
+def _owned(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    last = np.append(first[1:] - 1, len(h) - 1) if len(h) else first
+    return h[first], np.where(owner[first] == owner[last], owner[first], U(0))
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def _covered(hit: np.ndarray, size: int, min_run: int) -> np.ndarray:
+    edge = np.zeros(size + 1, np.int64)
+    at = np.flatnonzero(hit)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + min_run, -1)
+    return np.cumsum(edge)[:size] > 0
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", min_run: int = MIN_RUN, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Adds text, n_chars (code points), n_tokens, n_boilerplate; drops the html."""
     bounded_batches(df.sparkSession)
     df = df.drop(*(c for c in FOUND if c not in (id_col, url, html)))
+    buckets = max(64, (df.agg(F.sum(F.octet_length(html))).first()[0] or 0) // BUCKET_BYTES)
     host = ascii_lower(F.coalesce(F.regexp_extract(F.col(url), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
     tie = F.xxhash64(F.col(id_col))
     rows = df.withColumns({"_host": host, "_tie": tie}).repartitionByRange("_host", "_tie").sortWithinPartitions("_host", "_tie")
     kept = [c for c in df.columns if c != html]
+    out = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in FOUND[1:])])
+    # a row is a page that is done, a page of a group of a host that was cut, or the runs of such a group in a bucket
+    more = T.StructType.fromDDL("_host string, _group string, _regions array<string>, _blocks array<string>, _covered binary, _bucket bigint, _runs binary, _owners binary")
+    both = T.StructType([*out, *more])
+
+    def results(found: list[tuple[str, int, int]]) -> list[pa.Array]:
+        return [pa.array([x[0] for x in found], pa.string()), pa.array([len(x[0]) for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(waiting: list, pages: list) -> Iterator[pa.RecordBatch]:
-            got, at = extract_pages(pages, min_run), 0
-            for b in waiting:
-                part = got[at : at + b.num_rows]
-                at += b.num_rows
-                found = [pa.array([x[0] for x in part], pa.string()), pa.array([len(x[0]) for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*b.select(kept).columns, *found], [*kept, *FOUND])
+        part, groups, types = TaskContext.get().partitionId(), 0, None
 
-        waiting, pages, held, now = [], [], 0, None
+        def record(columns: dict, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types[c]) for c in both.names], both.names)
+
+        def done(waiting: list, pages: list, h: str, is_cut: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal groups
+            streams, at = streams_of(pages), 0
+            repeats = repeated(streams, min_run)
+            found = None if is_cut else cut(pages, streams, repeats)
+            name, groups = f"{part}-{groups}", groups + 1
+            for b in waiting:
+                of = slice(at, at + b.num_rows)
+                at, own = of.stop, dict(zip(kept, b.select(kept).columns, strict=True))
+                if not is_cut:
+                    yield record(own | dict(zip(FOUND, results(found[of]), strict=True)), b.num_rows)
+                    continue
+                lists = [pa.array([[x[k] for x in p] for p in pages[of]], pa.list_(pa.string())) for k in (0, 1)]
+                bits = pa.array([np.packbits(x).tobytes() for x in repeats[of]], pa.binary())
+                yield record(own | {"_host": pa.array([h] * b.num_rows), "_group": pa.array([name] * b.num_rows), "_regions": lists[0], "_blocks": lists[1], "_covered": bits}, b.num_rows)
+            if is_cut:
+                runs, owners = distinct_runs(streams, run_hashes(h, streams, min_run))
+                home = _bucket(runs, buckets)  # in order, as the runs are
+                used, first = np.unique(home, return_index=True)
+                for k, i, j in zip(used.tolist(), first, [*first, len(runs)][1:], strict=True):
+                    yield record({"_group": pa.array([name]), "_bucket": pa.array([k]), "_runs": pa.array([runs[i:j].tobytes()], pa.binary()), "_owners": pa.array([owners[i:j].tobytes()], pa.binary())}, 1)
+
+        # the first and the last host of a task may go on in another, those between are whole
+        waiting, pages, held, now, is_cut = [], [], 0, None, True
         for b in it:
+            types = types or {c: pa.null() for c in both.names} | {c: b.schema.field(c).type for c in kept} | {"text": pa.string(), **dict.fromkeys(FOUND[1:], pa.int64()), "_host": pa.string(), "_group": pa.string(), "_regions": pa.list_(pa.string()), "_blocks": pa.list_(pa.string()), "_covered": pa.binary(), "_bucket": pa.int64(), "_runs": pa.binary(), "_owners": pa.binary()}
             hosts, texts, start = b.column("_host").to_pylist(), b.column(html), 0
             for i, h in enumerate(hosts):
                 if pages and (h != now or held >= group_tokens):
                     waiting.append(b.slice(start, i - start))
-                    yield from done(waiting, pages)
+                    is_cut = is_cut or h == now
+                    yield from done(waiting, pages, now, is_cut)
+                    is_cut = is_cut and h == now
                     waiting, pages, held, start = [], [], 0, i
                 now, text = h, texts[i].as_py()
                 pages.append(blocks(text) if text else [])
                 held += sum(len(t) for _, t in pages[-1]) // 6 + 1
             waiting.append(b.select([*kept, "_host"]).slice(start))
         if waiting:
-            yield from done(waiting, pages)
-
-    out = T.StructType([*(df.schema[c] for c in kept), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in FOUND[1:])])
-    return rows.mapInArrow(run, out)
+            yield from done(waiting, pages, now, True)
+
+    def shared(key, t):
+        """Which of the runs that each group sent stand in two different streams, as bits."""
+        sent = [np.frombuffer(x, np.uint64) for x in t.column("_runs").to_pylist()]
+        h, owner = _owned(np.concatenate(sent), np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("_owners").to_pylist()]))
+        bits = [np.packbits(owner[np.searchsorted(h, x)] == 0).tobytes() for x in sent]
+        return pa.table({"_group": t.column("_group"), "_bucket": t.column("_bucket"), "_bits": pa.array(bits, pa.binary())})
+
+    def resolve(key, left, right):
+        pages = [list(zip(r, t, strict=True)) for r, t in zip(left.column("_regions").to_pylist(), left.column("_blocks").to_pylist(), strict=True)]
+        streams = streams_of(pages)
+        hashes = run_hashes(left.column("_host")[0].as_py(), streams, min_run) if pages else []
+        runs = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
+        home, hit = _bucket(runs, buckets), np.zeros(len(runs), bool)
+        for k, bits in zip(right.column("_bucket").to_pylist(), right.column("_bits").to_pylist(), strict=True):
+            i, j = np.searchsorted(home, [k, k + 1])
+            hit[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i)
+        local = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(s)).astype(bool) for x, s in zip(left.column("_covered").to_pylist(), streams, strict=True)]
+        repeats = [x | _covered(hit[np.searchsorted(runs, h)], len(s), min_run) if len(h) else x for x, h, s in zip(local, hashes, streams, strict=True)]
+        return pa.table([*(left.column(c) for c in kept), *results(cut(pages, streams, repeats))], names=[*kept, *FOUND])
+
+    searched = written(rows.mapInArrow(run, both), "pages")
+    whole = searched.filter("_group is null").select(out.names)
+    replies = searched.filter("_bucket is not null").select("_group", "_bucket", "_runs", "_owners").groupBy("_bucket").applyInArrow(shared, "_group string, _bucket bigint, _bits binary")
+    parts = searched.filter("_group is not null and _bucket is null").select(*kept, "_host", "_group", "_regions", "_blocks", "_covered")
+    return whole.unionByName(parts.groupBy("_group").cogroup(replies.groupBy("_group")).applyInArrow(resolve, out))
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:
