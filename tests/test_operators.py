@@ -257,6 +257,24 @@ def test_diverse_equals_greedy_loop():
         assert sorted(learning.diverse(x, 8)) == sorted(taken)
 
 
+@pytest.mark.parametrize("strategy", ["entropy", "margin"])
+def test_batches_hold_no_near_copies(spark, strategy):
+    seen = [(i, f"good fine nice day number{i % 7}", "p") for i in range(10)] + [(100 + i, f"bad awful poor night number{i % 7}", "n") for i in range(10)]
+    model = learning.fit(spark.createDataFrame(seen, "_row_id bigint, text string, label string"))
+    pool = [(200 + i, "good bad") for i in range(8)] + [(300 + i, f"{a} {b} {c}") for i, (a, b, c) in enumerate([("fine", "fine", "awful"), ("nice", "nice", "poor"), ("day", "day", "night"), ("good", "good", "awful")])]
+    got = {r[0] for r in learning.query(spark.createDataFrame(pool, "_row_id bigint, text string"), strategy, 3, model).collect()}
+    assert len(got) == 3 and len([i for i in got if i < 300]) == 1
+
+
+def test_al_cycle_runs_all_strategies_for_five_iterations(spark, monkeypatch):
+    from textquarry import catalog
+
+    ran = []
+    monkeypatch.setattr(learning, "run_cycle", lambda start, left, test, strategy, iterations=5, batch=20, row_id="_row_id": ran.append((strategy, iterations)) or [{"strategy": strategy, "iteration": 0, "n_labeled": 1, "accuracy": 1, "f1_macro": 1}])
+    catalog.QUERIES["al_cycle"](spark, "/root/testdata/sf0.001")
+    assert ran == [("random", 5), ("entropy", 5), ("margin", 5)]
+
+
 def test_learning(spark):
     data = [(i, f"good fine nice day number{i % 7}", "p") for i in range(30)] + [(100 + i, f"bad awful poor night number{i % 7}", "n") for i in range(30)]
     df = spark.createDataFrame(data, "_row_id bigint, text string, label string")

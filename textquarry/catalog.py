@@ -741,7 +741,7 @@ def _(spark, d):
     pool = parts.filter(~F.col("_test")).drop("_test")
     start = sampling.sample(pool, 50)
     left = pool.join(start.select("_row_id"), "_row_id", "left_anti")
-    history = [h for s in ("random", "margin") for h in learning.run_cycle(start, left, parts.filter("_test").drop("_test"), s, iterations=2)]
+    history = [h for s in ("random", "entropy", "margin") for h in learning.run_cycle(start, left, parts.filter("_test").drop("_test"), s)]
     return spark.createDataFrame([(h["strategy"], h["iteration"], h["n_labeled"], float(h["accuracy"]), float(h["f1_macro"])) for h in history], "strategy string, iteration bigint, n_labeled bigint, accuracy double, f1_macro double")
 
 

@@ -126,11 +126,14 @@ def select_diverse(ranked: DataFrame, model: TextClassifier, batch: int, text: s
 
 
 def query(pool: DataFrame, strategy: str, batch: int, model: TextClassifier | None = None, labeled: DataFrame | None = None, row_id: str = ROW_ID) -> DataFrame:
-    """The row ids to label next."""
+    """The row ids to label next: the first of the ranked pool that are unlike each other."""
     if strategy == "random":
         return sample(pool, batch, 42, row_id).select(row_id)
     model = model or fit(labeled)
-    return rank(with_uncertainty(model.transform(pool)), strategy, row_id).limit(batch).select(row_id)
+    ranked = rank(with_uncertainty(model.transform(pool)), strategy, row_id)
+    if "text" not in pool.columns:
+        return ranked.limit(batch).select(row_id)
+    return select_diverse(ranked, model, batch, row_id=row_id).select(row_id)
 
 
 def select_batch(pool: DataFrame, labeled: DataFrame, strategy: str = "entropy", batch: int = 100, row_id: str = ROW_ID) -> DataFrame:
