@@ -230,6 +230,15 @@ def test_dropout_equals_the_agenda_and_is_lossless(pieces):
     assert one == spm.Encoder(pieces, 1, 0.3)(["a", "b", "c", "d"], ["international segmentation"] * 4) and one != two and len(set(one)) > 1
 
 
+def test_each_occurrence_is_split_anew(pieces):
+    code = spm.Encoder(pieces, 5, 0.3)
+    one = code(["a"], ["internationalization " * 300])[0]
+    assert one == spm.Encoder(pieces, 5, 0.3)(["a"], ["internationalization " * 300])[0] and spm.decode(pieces, np.frombuffer(one, "<i4")) == "internationalization " * 300
+    assert len(set(code([str(i) for i in range(200)], ["internationalization"] * 200))) > 4
+    occurrences = np.arange(100, dtype=np.uint64)
+    assert len(set(code.merged([" internationalization"] * 100, occurrences))) > 4
+
+
 def test_encode_odd_rows(spark):
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = odd_docs(spark).withColumnRenamed("n_words", "ids")

@@ -2,12 +2,12 @@
 
 The vocabulary is a SentencePiece BPE model (identity normalisation, a space before the text, spaces written as U+2581, byte fallback). Merges never reach from
 one run of spaces and the word after it into the next, so a text is encoded run by run. In a run the agenda is as in BPE: of all neighbouring symbols whose
-join is a piece, the best score first, the leftmost of equals. A candidate merge is skipped if a keyed hash of (seed, variant, run, its
-start, its end) falls below ``dropout``; a later candidate over another span is hashed anew. A text's variant is a keyed hash of its id below ``variants``, so
-texts differ in how they split the same word, the same seed always gives the same ids, and another seed (an epoch) gives others. Every segmentation is
+join is a piece, the best score first, the leftmost of equals. A candidate merge is skipped if a keyed hash of (seed, occurrence, run, its
+start, its end) falls below ``dropout``; a later candidate over another span is hashed anew. An occurrence is a text's id and the place of the run in the text, so
+a word is split anew wherever it stands, the same seed always gives the same ids, and another seed (an epoch) gives others. Every segmentation is
 made of merges of the vocabulary and spells the same bytes, so decoding gives back the text exactly. Dropout 0 is plain BPE.
 
-Runs of equal length are merged side by side in numpy; each (variant, run) is merged once in a task while its cache lasts.
+Runs of equal length are merged side by side in numpy, every occurrence by itself.
 What isn't in the vocabulary becomes its UTF-8 bytes; so does U+2581 itself, which else would decode to a space.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows (id and text) get the same ids. Null ids count as the empty id.
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from .common import as_bytes, batches, bounded_batches, table
 from .minhash import _GOLD, U, mix
 
-DROPOUT, VARIANTS, SEED = 0.1, 4, 2026
-CACHE_RUNS = 1_000_000
+DROPOUT, SEED = 0.1, 2026
+SLICE_CHARS, SLICE_RUNS = 1 << 20, 200_000
 FOUND = ("ids", "n_ids")
 SPACE = "▁"
 _RUN = re.compile("[ ]*[^ \n]+|[ ]+|\n")
@@ -107,17 +107,17 @@ def _codes(runs: list[str]) -> np.ndarray:
     return np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).reshape(len(runs), -1)
 
 
-def _keys(seed: int, variants: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of (seed, variant, run) for each row."""
+def _keys(seed: int, occurrences: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of (seed, occurrence, run) for each row."""
     key = int.from_bytes(hashlib.blake2b(str(seed).encode(), digest_size=8).digest(), "little")
-    h = mix(variants.astype(U) * _GOLD + U(key))
+    h = mix(occurrences.astype(U) * _GOLD + U(key))
     for j in range(codes.shape[1]):
         h = mix(h + codes[:, j].astype(U) * _GOLD + U(1))
     return h
 
 
 def merge_runs(v: Vocabulary, runs: list[tuple[int, str]], seed: int, dropout: float) -> list[bytes]:
-    """Ids (little-endian int32) of each (variant, run), by the agenda with keyed dropout, side by side for runs of one length."""
+    """Ids (little-endian int32) of each (occurrence, run), by the agenda with keyed dropout, side by side for runs of one length."""
     out: list = [None] * len(runs)
     by_length: dict[int, list[int]] = {}
     for k, (_, r) in enumerate(runs):
@@ -129,7 +129,7 @@ def merge_runs(v: Vocabulary, runs: list[tuple[int, str]], seed: int, dropout: f
             codes = _codes([runs[k][1] for k in part])
             sym = v.symbols(codes)
             if n > 1:
-                _agenda(v, sym, _keys(seed, np.array([runs[k][0] for k in part]), codes) if dropout > 0 else None, bound)
+                _agenda(v, sym, _keys(seed, np.array([runs[k][0] for k in part], U), codes) if dropout > 0 else None, bound)
             ends = np.cumsum((sym >= 0).sum(1)) * 4
             ids, odd, at = sym[sym >= 0].astype("<i4").tobytes(), (sym == -1).any(1).tolist(), 0
             for row, (k, end) in enumerate(zip(part, ends.tolist(), strict=True)):
@@ -206,27 +206,40 @@ def runs_of(text: str) -> list[str]:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
-        self.v, self.seed, self.dropout, self.variants = vocabulary, seed, dropout, variants if dropout > 0 else 1
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def variant(self, name: str) -> int:
-        return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8, key=str(self.seed).encode()).digest(), "little") % self.variants
+    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT):
+        self.v, self.seed, self.dropout = vocabulary, seed, dropout
 
     def __call__(self, names: list[str], texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian int32."""
-        if sum(map(len, self.caches)) > CACHE_RUNS:
-            for c in self.caches:
-                c.clear()
-        which, runs = [self.variant(n) for n in names], [runs_of(t) if t else [] for t in texts]
-        new: dict[tuple[int, str], None] = {}
-        for k, rs in zip(which, runs, strict=True):
-            cache = self.caches[k]
-            new.update(((k, r), None) for r in set(rs) if r not in cache)
-        todo = list(new)
-        for (k, r), ids in zip(todo, merge_runs(self.v, todo, self.seed, self.dropout), strict=True):
-            self.caches[k][r] = ids
-        return [b"".join(map(self.caches[k].__getitem__, rs)) for k, rs in zip(which, runs, strict=True)]
+        out: list[bytes] = []
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size < SLICE_CHARS):
+                size += len(texts[j] or "")
+                j += 1
+            out += self.coded(names[i:j], texts[i:j])
+            i = j
+        return out
+
+    def coded(self, names: list[str], texts: list[str | None]) -> list[bytes]:
+        runs = [runs_of(t) if t else [] for t in texts]
+        flat, sizes = [r for rs in runs for r in rs], np.array([len(rs) for rs in runs], np.int64)
+        ends = np.cumsum(sizes)
+        base = np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little") for n in names], U)
+        place = (np.arange(len(flat)) - np.repeat(ends - sizes, sizes)).astype(U)
+        occurrences = mix(np.repeat(base, sizes) + place * _GOLD)
+        coded: list[bytes] = []
+        for lo in range(0, len(flat), SLICE_RUNS):
+            coded += self.merged(flat[lo : lo + SLICE_RUNS], occurrences[lo : lo + SLICE_RUNS])
+        return [b"".join(coded[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def merged(self, runs: list[str], occurrences: np.ndarray) -> list[bytes]:
+        if self.dropout > 0:
+            return merge_runs(self.v, list(zip(occurrences.tolist(), runs, strict=True)), self.seed, self.dropout)
+        once = list(dict.fromkeys(runs))
+        ids = dict(zip(once, merge_runs(self.v, [(0, r) for r in once], self.seed, 0), strict=True))
+        return [ids[r] for r in runs]
 
 
 def decode(v: Vocabulary, ids) -> str:
@@ -240,13 +253,13 @@ def _lists(coded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text", seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text", seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """Adds ids (array<int>) and n_ids."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop(*FOUND)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Encoder(Vocabulary(model_file), seed, dropout, variants)
+        code = Encoder(Vocabulary(model_file), seed, dropout)
         for b in batches(it):
             names = ["" if x is None else str(x) for x in b.column(id_col).to_pylist()]
             coded = code(names, b.column(text).to_pylist())
