@@ -207,7 +207,7 @@ def test_plain_bpe_equals_sentencepiece(pieces):
 def test_dropout_equals_the_agenda_and_is_lossless(pieces):
     def dropped(key, s, e):
         with np.errstate(over="ignore"):
-            h = spm.mix(spm.mix(np.array([key + s * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64)) + np.uint64(e))[0]
+            h = spm.mix(np.array([key + (s << 32 | e) * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]
         return int(h) < int(0.3 * 2.0**64)
 
     def agenda(run, variant):
@@ -221,7 +221,7 @@ def test_dropout_equals_the_agenda_and_is_lossless(pieces):
             parts = [p for p in parts if p[1] <= s] + [(s, e, j)] + [p for p in parts if p[0] >= e]
 
     runs = [(k % 3, w) for k, w in enumerate([" " + x for x in WORDS] + [" internationalization", "    x", " aaaaaaa"])]
-    for (v, w), ids in zip(runs, spm.merge_runs(pieces, runs, 1, 0.3), strict=True):
+    for (v, w), ids in zip(runs, spm.merge_runs(pieces, [w for _, w in runs], np.array([v for v, _ in runs], np.uint64), 1, 0.3), strict=True):
         assert np.frombuffer(ids, "<i4").tolist() == agenda(w, v)
     for dropout in (0, 0.1, 0.9, 1.0):
         coded = spm.Encoder(pieces, 3, dropout)([str(i) for i in range(len(TEXTS))], TEXTS)
@@ -237,6 +237,11 @@ def test_each_occurrence_is_split_anew(pieces):
     assert len(set(code([str(i) for i in range(200)], ["internationalization"] * 200))) > 4
     occurrences = np.arange(100, dtype=np.uint64)
     assert len(set(code.merged([" internationalization"] * 100, occurrences))) > 4
+    # a run of two characters with one merge is split in a share of about the dropout, and two occurrences in one text differ as often as chance has it
+    ab = [len(x) // 4 for x in code.merged([" a"] * 4000, np.arange(4000, dtype=np.uint64))]
+    assert set(ab) == {1, 2} and abs(ab.count(2) / 4000 - 0.3) < 0.03
+    pairs = np.frombuffer(code(["x"], ["a " * 4000])[0], "<i4")
+    assert abs((pairs == pieces.ids["a"]).sum() / 4000 - 0.3) < 0.03 and spm.decode(pieces, pairs) == "a " * 4000
 
 
 def test_encode_odd_rows(spark):
@@ -244,7 +249,10 @@ def test_encode_odd_rows(spark):
     docs = odd_docs(spark).withColumnRenamed("n_words", "ids")
     got = spm.decoded(spm.encode(docs, model), model).collect()
     assert len(got) == 8 and all(r["decoded"] == (r["text"] or "") and r["n_ids"] == len(r["ids"]) for r in got)
+    assert all(r["lossless"] for r in spm.encode(docs, model, lossless="lossless").collect())
     assert spm.encode(docs.limit(0), model).count() == 0
+    odd = spark.createDataFrame([(None, 1), ([], 2), ([3 + 0xE3], 3)], "ids array<int>, decoded int")  # a lone first byte of three
+    assert [r["decoded"] for r in spm.decoded(odd, model).collect()] == ["", "", "\ufffd"]
 
 
 # op5
