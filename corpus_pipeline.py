@@ -39,11 +39,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with merge-dropout, and whether they decode to the text."""
     import public_tokenizers
-    from pyspark.sql import functions as F
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    back = spm.decoded(spm.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
-    return back.select("doc_id", "lang", "source", "ids", "n_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    coded = spm.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), lossless="lossless")
+    return coded.select("doc_id", "lang", "source", "ids", "n_ids", "lossless")
 
 
 STAGES = [
