@@ -86,6 +86,8 @@ def fit(labeled: DataFrame, text: str = "text", label: str = "label", max_featur
     train = unit.transform(scale.transform(index.transform(counted)))
     lr = LogisticRegression(featuresCol="features", labelCol="_y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, family="multinomial").fit(train)
     counted.unpersist()
+    # the training summary holds the session and would go with the model into every task
+    lr._java_obj.setSummary(labeled.sparkSession._jvm.scala.Option.empty())
     return TextClassifier(PipelineModel([words, pairs, both, counts, scale, unit, lr]), list(index.labels))
 
 
