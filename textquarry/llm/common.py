@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,18 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_names(columns: list[str], taken: Iterable[str] | None = None) -> dict[str, str]:
+    """A name for each column that clashes with no other; only those in ``taken`` (whatever their case) are renamed if it is given."""
+    low = None if taken is None else {t.lower() for t in taken}
+    return {c: f"_own{k}" if low is None or c.lower() in low else c for k, c in enumerate(columns)}
+
+
+def set_aside(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with its columns named as in ``taken`` under other names, and what gives a frame the input's columns back, unchanged and in their order."""
+    names = fresh_names(df.columns, taken)
+    return df.withColumnsRenamed({c: n for c, n in names.items() if c != n}), lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, A_Z, a_z)
 
