@@ -5,11 +5,12 @@ and 0x80-0xFF. A window is 10 consecutive words of an item; an item of fewer wor
 The scan maps a document's words to the benchmark's word numbers, hashes each run of 10 by a rolling polynomial,
 looks the hashes up in the sorted set, and verifies each hit word by word. Every document word inside an occurrence is hit.
 
-The set is broadcast in blocks of at most ``max_block_bytes`` of benchmark text. One block is the usual case; more are
-scanned one after the other and the spans of a document merged, so no broadcast grows with the benchmark.
+The set is broadcast in blocks of about ``max_block_bytes`` of benchmark text. One block is the usual case; with more, the documents are numbered and
+written, scanned with one block after the other (a block's broadcast is gone before the next is made, and a pass writes hits only), and the hits merged by document.
 
 Null and empty texts have no words and no hits. Items with a null text or no words are never found. Repeated rows are judged
-each on its own (rows keep their own columns; result columns named alike in the input are replaced).
+each on its own, very long texts whole. ``find_contamination`` replaces columns of the input that are named like its results; ``decontaminate`` returns the
+input's columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, batches, bounded_batches, table
+from .common import as_bytes, batches, bounded_batches, set_aside, table, written
 
 WINDOW = 10
-MAX_BLOCK_BYTES = 16 << 20
+MAX_BLOCK_BYTES = 2 << 20  # an index of it takes about 100 MB
 FOUND = ("n_words", "n_hit", "n_items", "items", "spans")
+ROW = "_decontam_row"
 #: Word bytes stay, A-Z become a-z, all else becomes a space.
 FOLD = bytes(i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -110,53 +113,58 @@ def _index_blocks(benchmark: DataFrame, item: str, text: str, max_bytes: int) ->
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = int(size // max_bytes) + 1
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter("text is not null")
-    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(2 * n)) == k) for k in range(2 * n)]
+    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """Adds n_words, n_hit (bigint), n_items (bigint), items (array of item ids as strings, sorted), spans (hit word ranges)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(*FOUND)
-    out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPANS)])
     blocks = _index_blocks(benchmark, item, item_text, max_block_bytes)
-
-    def with_block(block: DataFrame, before: bool):
-        rows = [(r["item"], r["text"].encode()) for r in block.collect()]  # at most max_block_bytes of text
-        sent = spark.sparkContext.broadcast(pickle.dumps(build_index(rows, window)))
-
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = pickle.loads(sent.value)
-            for b in batches(it):
-                n_words, spans, items = scan(as_bytes(b.column(text)), index)
-                if before:  # what the blocks before this one have found
-                    for k, (old, had) in enumerate(zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)):
-                        spans[k], items[k] = merge_spans([*spans[k], *((x["start"], x["end"]) for x in old)]), items[k] | set(had)
-                found = [
-                    pa.array(n_words, pa.int64()),
-                    pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], ARROW_SPANS),
-                ]
-                kept = [c for c in b.schema.names if c not in FOUND]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *found], [*kept, *FOUND])
-
-        return run
-
+    if len(blocks) == 1:
+        return _scanned(docs, blocks[0], text, window)[0]
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
+    hits = []
     for k, block in enumerate(blocks):
-        docs = docs.mapInArrow(with_block(block, k > 0), out)
-    return docs
-
-
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
+        found, sent = _scanned(rows.select(ROW, text), block, text, window)
+        hits.append(written(found.filter("n_hit > 0" if k else "n_words > 0").select(ROW, "n_words", "items", "spans"), "hits"))
+        sent.destroy()
+    one = reduce(DataFrame.union, hits).groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+    def add(acc, x):
+        """The span joined to the last one that it touches."""
+        last = F.element_at(acc, -1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (x["start"] <= F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(x)))
+
+    merged = F.when(F.size("spans") > 0, F.aggregate("spans", F.slice("spans", 1, 1), add)).otherwise(F.col("spans"))
+    one = one.withColumn("spans", merged)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
+    none = lambda c: F.coalesce(c, F.array().cast(one.schema[c].dataType))
+    out = rows.join(one, ROW, "left").withColumns({"n_words": F.coalesce("n_words", F.lit(0).cast("bigint")), "items": none("items"), "spans": none("spans")})
+    return out.select(*docs.columns, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans")
+
+
+def _scanned(docs: DataFrame, block: DataFrame, text: str, window: int):
+    """The rows with what one block of the benchmark hits, and the block's broadcast."""
+    items = [(r["item"], r["text"].encode()) for r in block.collect()]  # about max_block_bytes of text
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(build_index(items, window)))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pickle.loads(sent.value)
+        for b in batches(it):
+            n_words, spans, items = scan(as_bytes(b.column(text)), index)
+            found = [
+                pa.array(n_words, pa.int64()),
+                pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
+                pa.array([len(x) for x in items], pa.int64()),
+                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], ARROW_SPANS),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *FOUND])
+
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), SPANS)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(FOUND, kinds, strict=True))])), sent
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -179,12 +187,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
-    found = find_contamination(docs, benchmark, text=text, **how)
+    inside, back = set_aside(docs, [*FOUND, ROW])
+    text = inside.columns[docs.columns.index(text)]
+    found = find_contamination(inside, benchmark, text=text, **how)
     if mode == "documents":
-        return found.filter("n_hit = 0").select(*docs.columns)
+        return back(found.filter("n_hit = 0"))
     cut = F.udf(lambda t, s: cut_spans(t, [(x["start"], x["end"]) for x in s]) if t and s else t, "string", useArrow=True)  # Spark calls it for every row
     kept = found.filter("n_hit = 0 or n_hit < n_words")
-    return kept.withColumn(text, F.when(F.col("n_hit") > 0, cut(F.col(text), F.col("spans"))).otherwise(F.col(text))).select(*docs.columns)
+    return back(kept.withColumn(text, F.when(F.col("n_hit") > 0, cut(F.col(text), F.col("spans"))).otherwise(F.col(text))))
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
