@@ -4,17 +4,19 @@ The cascade needs no join. Level 0 encodes the listed keys. Level 1 encodes the
 takes wrongly, level 2 the listed keys that level 1 takes, and so on, until a level takes nothing wrongly. Over the
 corpus's complete key universe the first level that a key misses then tells exactly whether it is listed.
 Level 0's false-positive rate falls as the universe grows, so that the filters together take a number of bits in
-proportion to the listed keys and the logarithm of the universe; the size is checked before anything is broadcast.
+proportion to the listed keys and the logarithm of the universe. Each filter is one row, an array of words that goes to the executors as a scalar subquery. A cascade
+takes at most about ``max_bytes``: a longer list is split by a hash of the key into as many cascades as it needs, over the matching parts of the universe, and a
+page's verdict is looked up in one after the other, each pass written. So the method is the same at every size, without joins.
 
-Keys are a host and all its parent domains: a listed domain blocks its subdomains too.
+Keys are a host and its parent domains, up to as many labels as a listed domain has (no longer one can be listed): a listed domain blocks its subdomains too.
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule and is not listed (allow).
-All other columns of the input are kept; columns named like the results are replaced.
+Repeated rows are judged alike, very long urls whole. All other columns of the input are kept; columns named like the results are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +39,7 @@ LISTED = tuple(f"{n}.{s}" for n in LISTED_NAMES for s in LISTED_SUFFIXES)
 
 MAX_FILTER_BYTES = 8 << 20
 MAX_LEVELS = 64
+LISTED_FLAG = "_url_listed"
 
 
 def host_of(url: Column) -> Column:
@@ -47,12 +50,9 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domains_of(host: Column) -> Column:
-    """The host and all its parent domains."""
-    parts = F.split(host, r"\.", -1)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    )
+def domains_of(host: Column, labels: int) -> list[Column]:
+    """The host's last label, its last two, and so on; the whole host where it has fewer."""
+    return [F.substring_index(host, ".", -i) for i in range(1, labels + 1)]
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -68,11 +68,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Level:
     bits: int
     hashes: int
-    words: list[int] = field(default_factory=list)
+    words: DataFrame | None = None  # one row, one array
 
     def has(self, key: Column, level: int) -> Column:
-        words = F.lit(self.words) if self.words else F.array().cast("array<bigint>")
-        hits = []
+        words, hits = self.words.scalar(), []
         for j in range(self.hashes):
             at = F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(self.bits))
             word = F.get(words, F.floor(at / 64).cast("int"))
@@ -80,38 +79,43 @@ class Level:
         return reduce(lambda a, b: a & b, hits)
 
 
-def _level(keys: DataFrame, n: int, rate: float, level: int, max_bytes: int) -> Level | None:
-    """A filter over n distinct keys, set bit by bit with partial aggregation; None beyond the size bound."""
-    bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64)
-    if bits // 8 > max_bytes:
-        return None
-    made = Level(bits, max(1, round(bits / max(n, 1) * math.log(2))) if n * 40 > bits else 20)
+def _bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64)
+
+
+def _first_rate(n_in: int, n_out: int) -> float:
+    return min(0.5, n_in * math.sqrt(0.5) / max(n_out, 1))
+
+
+def _level(keys: DataFrame, n: int, rate: float, level: int) -> Level:
+    """A filter over n distinct keys, set bit by bit with partial aggregation and gathered as one row."""
+    bits = _bits(n, rate)
+    made = Level(bits, max(1, min(20, round(bits / max(n, 1) * math.log(2)))))
     at = [F.pmod(F.xxhash64("key", F.lit(level), F.lit(j)), F.lit(bits)) for j in range(made.hashes)]
-    words = dict(
+    words = (
         keys.select(F.explode(F.array(*at)).alias("at"))
         .groupBy(F.floor(F.col("at") / 64).cast("int").alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))).alias("set"))
-        .collect()
     )
-    made.words = [words.get(i, 0) for i in range(bits // 64)]
+    blank = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("set"))
+    full = words.union(blank).groupBy("word").agg(F.bit_or("set").alias("set"))
+    made.words = written(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "set"))), lambda x: x["set"]).alias("words")), "filter")
     return made
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> list[Level] | None:
-    """``universe`` and ``listed``: distinct strings in a column ``key``. None if the filters pass the size bound."""
-    inside = listed
-    outside = universe.join(listed, "key", "left_anti")
+def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
+    """``universe`` and ``listed``: distinct strings in a column ``key``."""
+    inside, outside = listed, universe.join(listed, "key", "left_anti")
     n_in, n_out = inside.count(), outside.count()
     levels: list[Level] = []
-    while n_in and len(levels) < MAX_LEVELS:
-        rate = 0.5 if levels else min(0.5, n_in * math.sqrt(0.5) / max(n_out, 1))
-        made = _level(inside, n_in, rate, len(levels), max_bytes - sum(x.bits // 8 for x in levels))
-        if made is None:
-            return None
+    while n_in:
+        if len(levels) == MAX_LEVELS:
+            raise RuntimeError(f"the cascade did not settle in {MAX_LEVELS} levels")
+        made = _level(inside, n_in, 0.5 if levels else _first_rate(n_in, n_out), len(levels))
         wrong = outside.filter(made.has(F.col("key"), len(levels)))
         levels.append(made)
         inside, outside, n_in, n_out = wrong, inside, wrong.count(), n_in
-    return None if n_in else levels
+    return levels
 
 
 def listed_by(cascade: list[Level], key: Column) -> Column:
@@ -125,24 +129,30 @@ def listed_by(cascade: list[Level], key: Column) -> Column:
 def filter_urls(pages: DataFrame, rules=RULES, listed=LISTED, url: str = "url", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Adds host, path, rule, verdict, and method_verdict (what the cascade alone says).
 
-    ``listed``: an iterable of domains or a DataFrame with a column ``key``. If the filters would pass ``max_bytes``,
-    the distinct domains are joined with the list instead, which is exact too and shuffles domains, not pages.
+    ``listed``: an iterable of domains or a DataFrame with a column ``key``.
     """
     spark = pages.sparkSession
-    keys = (listed.select("key") if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "key string")).filter("key is not null").distinct()
-    rows = pages.drop("host", "path", "rule", "verdict", "method_verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    keys = (listed.select("key") if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "key string")).filter("key <> ''").distinct()
+    rows = pages.drop("host", "path", "rule", "verdict", "method_verdict", LISTED_FLAG).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), LISTED_FLAG: F.lit(False)})
+    n_in, labels = keys.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("key", r"\."))), F.lit(0))).first()
     hosts = rows.select("host").distinct()
-    universe = written(hosts.select(F.explode(domains_of(F.col("host"))).alias("key")).distinct(), "urlkeys")
-    cascade = build_cascade(universe, keys, max_bytes)
-    if cascade is None:
-        bad = hosts.select("host", F.explode(domains_of(F.col("host"))).alias("key")).join(keys, "key", "left_semi").select("host").distinct().withColumn("_listed", F.lit(True))
-        rows, is_listed = rows.join(bad, "host", "left"), F.coalesce(F.col("_listed"), F.lit(False))
-    else:
-        is_listed = F.exists(domains_of(F.col("host")), lambda d: listed_by(cascade, d)) if cascade else F.lit(False)
+    universe = written((hosts.select(F.explode(F.array(*domains_of(F.col("host"), labels))).alias("key")) if labels else hosts.select(F.col("host").alias("key"))).distinct(), "urlkeys")
+    # the levels after the first take about two bits a key each, half as many keys each time
+    size = (_bits(n_in, _first_rate(n_in, universe.count())) + 6 * n_in) // 8 if n_in else 0
+    parts = size // max_bytes + 1
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit("part")), F.lit(parts))
+    for k in range(parts):
+        cascade = build_cascade(universe.filter(part(F.col("key")) == k), keys.filter(part(F.col("key")) == k))
+        if cascade:
+            names = [f"_url_key{i}" for i in range(labels)]
+            rows = rows.withColumns(dict(zip(names, domains_of(F.col("host"), labels), strict=True)))
+            hits = [((part(F.col(n)) == k) if parts > 1 else F.lit(True)) & listed_by(cascade, F.col(n)) for n in names]
+            rows = rows.withColumn(LISTED_FLAG, reduce(lambda a, b: a | b, hits, F.col(LISTED_FLAG))).drop(*names)
+            rows = written(rows, "urls") if parts > 1 else rows
     drop_written(spark, universe)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(is_listed, "block").otherwise("allow")
-    return rows.withColumn("method_verdict", method).withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.col("method_verdict"))}).drop("_listed")
+    method = F.when(F.col(LISTED_FLAG), "block").otherwise("allow")
+    return rows.withColumn("method_verdict", method).withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.col("method_verdict"))}).drop(LISTED_FLAG)
 
 
 def op3_url_filters(spark, sf_dir: str) -> DataFrame:
