@@ -9,10 +9,12 @@ with witnesses repeated in disguise (a sign or a letter put in). The Nystroem ma
 inner product of explicit subsequence weights, this sum is folded once into one weight a subsequence (a table of 64^ORDER floats),
 which scores a word without touching the landmarks again. Platt's sigmoid turns the worst word's f into a score.
 
-Fitting takes a bounded sample: at most ``per_class`` labelled texts of each class in order of hash, of at most ``max_chars`` characters each.
+Fitting takes a bounded sample: at most ``per_class`` labelled ids of each class in order of hash, one whole text of each (of several the one with the least hash).
+Executors send the distinct words of those texts, never the texts.
 
 Null and empty texts have no words and get the score of ``NOTHING``. Labels that are null, or that contradict each other for one id, aren't learned from.
-Without texts of both classes there is no model: every score is 0. Repeated rows are scored alike. Result columns named as in the input replace them.
+Without texts of both classes there is no model: every score is 0. Repeated rows are scored alike. Very long texts are scored whole, and long words in overlapping
+pieces. Result columns named as in the input replace them.
 """
 
 from __future__ import annotations
@@ -33,14 +35,14 @@ from pyspark.sql import types as T
 from .common import as_bytes, batches, bounded_batches, crc_mod, table
 
 ORDER, GAPS, DECAY = 3, 2, 0.6
-PER_CLASS, MAX_CHARS = 1500, 20_000
+PER_CLASS = 1500
 LANDMARKS = (160, 96)
 ROUNDS = 5
 PLAIN = 10_000
 RIDGE = 1e-4
 LONGEST = 48
 NOTHING = -2.0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 FOUND = ("toxic_score", "toxic")
 
 _SAME = dict(zip(b"013457@$", b"oieastas", strict=True))
@@ -180,10 +182,15 @@ class Model:
     shift: float
 
     def worst(self, texts: list[bytes | None], cache: dict[bytes, float]) -> np.ndarray:
-        if len(cache) > CACHE_WORDS:
+        return self.worst_of([words_of(t) for t in texts], cache)
+
+    def worst_of(self, words: list[list[bytes]], cache: dict[bytes, float]) -> np.ndarray:
+        seen = {w for ws in words for w in ws}
+        if len(cache) > CACHE_WORDS:  # what these texts use, too, stays
+            kept = {w: cache[w] for w in seen if w in cache}
             cache.clear()
-        words = [words_of(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in cache})
+            cache.update(kept)
+        new = [w for w in seen if w not in cache]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             pieces = [(k, p) for k, w in enumerate(part) for p in _pieces(w)]
@@ -197,9 +204,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts, cache) + self.shift, -50, 50)))
 
 
-def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Model | None:
+def bag_of(text: bytes | None) -> list[bytes]:
+    """The distinct words of a text, long ones in pieces."""
+    return sorted({p for w in words_of(text) for p in _pieces(w)})
+
+
+def fit(bags: list[list[bytes]], toxic: list[int], seed: int = 7) -> Model | None:
+    """From the distinct words of each text."""
     rng = random.Random(seed)
-    bags = [sorted(set(p for w in words_of(t) for p in _pieces(w))) for t in texts]
     pos, neg = [b for b, y in zip(bags, toxic, strict=True) if y and b], [b for b, y in zip(bags, toxic, strict=True) if not y and b]
     if not pos or not neg:
         return None
@@ -217,7 +229,7 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Model | None:
     for _ in range(ROUNDS):
         model = Model(marks.fold(w), float(w[-1]), 1, 0)
         cache: dict[bytes, float] = {}
-        model.worst([b" ".join(vocab[i : i + 5000]) for i in range(0, len(vocab), 5000)], cache)
+        model.worst_of([vocab], cache)
         get = lambda k: cache.get(k, -9.0)
         witness = Counter(max(b, key=get) for b in pos)
         hard = Counter(k for b in neg for k in sorted(b, key=get)[-3:])
@@ -230,13 +242,13 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Model | None:
         x = marks.features(words)
         w = _svm(x, np.array([float(up[k]) for k in words]), np.array([0.0 if k in up and not in_neg[k] else hard[k] + min(in_neg[k], 50) * 0.2 for k in words]), w)
     model = Model(marks.fold(w), float(w[-1]), 1, 0)
-    s = model.worst([b" ".join(b) for b in pos + neg], {})
+    s = model.worst_of(pos + neg, {})
     y = np.array([1] * len(pos) + [0] * len(neg), float)
     model.slope, model.shift = _platt(s, y)
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
     """Fits on at most ``per_class`` labelled texts a class; ``labels`` holds the rows that may be learned from."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).alias("a"), F.max(label).alias("b")).filter("a = b")
     chosen = {}
@@ -245,9 +257,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             chosen[r[0]] = y
     if len(set(chosen.values())) < 2:
         return None
-    rows = docs.filter(F.col(id_col).isin(sorted(chosen)) & (F.length(text) <= max_chars)).select(id_col, text).limit(4 * per_class).collect()
-    rows = sorted({(r[0], r[1]) for r in rows if r[1]})
-    return fit([t.encode() for _, t in rows], [chosen[i] for i, _ in rows])
+    bounded_batches(docs.sparkSession)
+    texts = docs.filter(F.col(id_col).isin(sorted(chosen)) & F.col(text).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([bag_of(t) for t in as_bytes(b.column("text"))], pa.list_(pa.binary()))], ["id", "bag"])
+
+    got = texts.mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("bag", T.ArrayType(T.BinaryType()))])).collect()  # a row a chosen id
+    rows = sorted((r["id"], [bytes(w) for w in r["bag"]]) for r in got)
+    return fit([b for _, b in rows], [chosen[i] for i, _ in rows])
 
 
 def score_texts(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
