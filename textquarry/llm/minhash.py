@@ -6,14 +6,17 @@ hash, with its weight as rate; a register keeps the shingle that arrives first,
 register (early termination). Two texts agree in a register with probability J_P, the probability Jaccard similarity
 sum over common d of 1 / sum over d' of max(x_d'/x_d, y_d'/y_d), which is the plain Jaccard similarity where all weights are equal.
 
-1. Texts whose words are the same are one node (least id), so exact copies never meet in a bucket.
+1. Texts whose words are the same are one node, so exact copies never meet in a bucket. Rows are numbered when the sketch is written; a node is the least row number
+   of its copies, so rows that share an id, or have none, are never mixed up.
 2. ``BANDS`` bands of ``REGISTERS / BANDS`` registers; in every bucket each node is paired with the bucket's least node only (no pairs within
    a group), the signatures' estimate drops chance meetings, and exact J_P >= ``threshold`` on whole texts decides.
 3. Links make components. Buckets that still hold several components are searched in blocks of at most ``BLOCK`` nodes (or ``BLOCK_BYTES`` of text)
    against each other, for likely pairs of different components, which are verified in place. So no bucket is capped, nor does one lie in one task.
 
 Result classes: class_id is the least id of the component. Null and wordless texts have no shingles and are each a class of their own by id.
-Rows that share an id are one document. Rows with a null id take part by their words; alone in a class they get a null class_id.
+Rows that share an id are one document, so the nodes of their texts are linked; a document that stays keeps each of its different texts once (of equal ones the row
+with the least hash of its columns). Rows with a null id take part by their words; a class without any id has a null class_id and keeps one row. Very long texts
+are shingled whole. Other columns of the input may have any names: ``classes`` leaves them out, ``drop_near_duplicates`` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, batches, bounded_batches, table, written
+from .common import as_bytes, batches, bounded_batches, fresh_names, table, written
 from .components import components
 from .decontam import words_of
 
@@ -49,20 +53,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Weighted shingles of texts; each distinct word is hashed once."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         self.cache: dict[bytes, int] = {}
+        self.before: dict[bytes, int] = {}  # the words of the time before
         self.limit = limit
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes, ascending, and their counts."""
         if not words:
             return np.zeros(0, U), np.zeros(0, np.int64)
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
+        if len(self.cache) > self.limit // 2:
+            self.before, self.cache = self.cache, {}
+        cache, before = self.cache, self.before
         for w in set(words):
             if w not in cache:
-                cache[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+                cache[w] = before[w] if w in before else int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         h = np.array([cache[w] for w in words], U)
         n = min(SHINGLE, len(h))
         out = np.zeros(max(0, len(h) - n + 1), U)
@@ -126,24 +131,30 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a text: id, size (bytes), words (hash of its words, null without words), sig (registers), bands."""
+def sketch(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """The rows with _row (a number), _hash (of the columns), _size (bytes), _words (hash of the text's words, null without words), _sig (registers), _bands; and the
+    names that the input's columns have in it."""
     bounded_batches(docs.sparkSession)
+    own = fresh_names(docs.columns)
+    plain = [F.col(c) for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]  # maps can't be hashed
+    rows = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.monotonically_increasing_id().alias("_row"), F.xxhash64(*plain).alias("_hash"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for b in batches(it):
             digest, sigs, size = [], [], []
-            for t in as_bytes(b.column("text")):
+            for t in as_bytes(b.column(own[text])):
                 w = words_of(t)
                 size.append(len(t or b""))
                 digest.append(hashlib.blake2b(b" ".join(w), digest_size=16).hexdigest() if w else None)
                 sigs.append(probminhash(*shingle(w)) if w else np.zeros(REGISTERS, np.uint32))
             s = np.stack(sigs) if sigs else np.zeros((0, REGISTERS), np.uint32)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * BANDS, pa.int32()), pa.array(band_keys(s).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array([x.tobytes() for x in s], pa.binary()), keys], ["id", "size", "words", "sig", "bands"])
+            found = [pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array([x.tobytes() for x in s], pa.binary()), keys]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, "_size", "_words", "_sig", "_bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, size bigint, words string, sig binary, bands array<bigint>")
+    more = T.StructType.fromDDL("_size bigint, _words string, _sig binary, _bands array<bigint>")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more.fields])), own
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -159,11 +170,11 @@ def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of nodes (a, b) with J_P of at least the threshold, from whole texts. b may be frequent; its shingles are kept from row to row."""
-    nodes = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "nodes")
-    texts = written(docs.join(nodes, "id", "left_semi").select("id", "text"), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    nodes = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "nodes")
+    texts = written(texts.join(nodes, "node", "left_semi"), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, kept = Shingler(), None, None
@@ -197,7 +208,7 @@ def _likely_pairs(key, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(pairs), np.concatenate(likely)
 
 
-def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified links between components, from buckets of three or more nodes that hold several.
 
     A task has a pair of blocks of one bucket. It takes the likely pairs of different components, the likeliest first, and verifies them on
@@ -219,7 +230,7 @@ def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, docs: DataFram
 
     kind = "band bigint, i int, j int, node bigint, component bigint, mine int, head bigint, sig binary"
     some = written(rows.join(sigs, "node").select(*names).groupBy("band", "i", "j").applyInArrow(involved, kind), "likely")
-    texts = written(docs.join(some.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text")), "texts")
+    texts = written(texts.join(some.select("node").distinct(), "node", "left_semi"), "texts")
 
     def run(key, t):
         node, comp = (t.column(c).to_numpy() for c in ("node", "component"))
@@ -252,43 +263,50 @@ def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, docs: DataFram
     return some.join(texts, "node").select(*names, "text").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row a row of ``docs``: id, class_id, kept (the class's least id)."""
-    sk = written(sketch(docs, id_col, text), "sketch")
-    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    copies = written(sk.filter("words is not null").groupBy("words").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "copies")
-    # a node is the least id of texts of the same words; texts without any id can't be looked up and stay copies of each other only
-    sigs = written(sk.join(copies.filter("least is not null").select(F.col("least").alias("id"), "words"), ["id", "words"]).groupBy(F.col("id").alias("node")).agg(F.min("sig").alias("sig"), F.min("bands").alias("bands"), F.max("size").alias("size")), "nodes")
+def _classes(sk: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
+    """``sk``: a written sketch. Returns _row, id, class_id, kept."""
+    rows = sk.select("_row", F.col(id_col).cast("bigint").alias("id"), "_words", "_hash")
+    copies = written(rows.filter("_words is not null").groupBy("_words").agg(F.min("_row").alias("node")), "copies")
+    rows = written(rows.join(copies, "_words", "left").select("_row", "id", "node", "_hash"), "rows")
+    of_node = sk.withColumnRenamed("_row", "node").join(copies.select("node"), "node")
+    sigs = written(of_node.select("node", F.col("_sig").alias("sig"), F.col("_bands").alias("bands"), F.col("_size").alias("size")), "nodes")
+    texts = sk.select(F.col("_row").alias("node"), F.col(text).alias("text"))
     bands = sigs.select("node", "size", F.explode("bands").alias("band"))
     heads = written(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1"), "heads")
     buckets = written(bands.drop("size").join(heads, "band"), "buckets")
     tried = written(buckets.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "tried")
     sigs = sigs.select("node", "sig")
-    first = written(_verified(_alike(tried, sigs), plain, threshold), "links")
-    linked = components(first)
-    more = written(_rest(buckets, linked, sigs, plain, threshold), "rest")
+    # texts of one id are one document
+    shared = rows.filter("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("id", "b")
+    same = rows.join(shared, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    linked = components(written(_verified(_alike(tried, sigs), texts, threshold), "links").union(same))
+    more = written(_rest(buckets, linked, sigs, texts, threshold), "rest")
     if more.take(1):
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))  # the stars found so far, not all links again
-    of_words = copies.join(linked.withColumnRenamed("node", "least"), "least", "left").select("words", F.coalesce("component", "least").alias("class"))
-    # rows that share an id are one document
-    return sk.select("id", "words").join(of_words, "words", "left").select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id")).withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(False)))
+    worded = rows.filter("node is not null").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    worded = worded.join(worded.groupBy("component").agg(F.min("id").alias("class_id")), "component")
+    # a class's document keeps each of its different texts; a class without ids keeps one
+    key = F.when(F.col("class_id").isNotNull(), F.col("node")).otherwise(F.col("component"))
+    wordless = rows.filter("node is null").select("_row", "id", "_hash", F.col("id").alias("class_id"), F.when(F.col("id").isNull(), 2).otherwise(1).alias("kind"), F.coalesce("id", "_row").alias("key"))
+    found = written(worded.select("_row", "id", "_hash", "class_id", F.lit(0).alias("kind"), key.alias("key")).union(wordless), "classes")
+    mine = found.filter("id <=> class_id")
+    least = mine.groupBy("kind", "key").agg(F.min("_hash").alias("_hash"))
+    stays = mine.join(least, ["kind", "key", "_hash"]).groupBy("kind", "key").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("stays"))
+    return found.join(stays, "_row", "left").select("_row", "id", "class_id", F.coalesce("stays", F.lit(False)).alias("kept"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """A row a row of ``docs``: id, class_id, kept (whether ``drop_near_duplicates`` keeps the row)."""
+    sk, own = sketch(docs.select(id_col, text), text)
+    return _classes(written(sk, "sketch"), own[id_col], own[text], threshold).select(F.col("id").alias(id_col), "class_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class: the one with the least id. Of rows that share an id one stays; rows without an id stay only if their words are in no other class."""
-    found = written(classes(docs, id_col, text, threshold), "classes")
-    ids = written(found.filter("kept").groupBy(id_col).agg(F.count("*").alias("_rows")), "kept")
-    rows = docs.join(ids, id_col)
-    once, many = rows.filter("_rows = 1"), rows.filter("_rows > 1")
-    out = once.select(*docs.columns)
-    if ids.filter("_rows > 1").take(1):
-        out = out.unionByName(many.select(*docs.columns).dropDuplicates([id_col]))
-    if docs.filter(F.col(id_col).isNull()).take(1):
-        alone = docs.filter(F.col(id_col).isNull())
-        words = written(sketch(docs, id_col, text).select("id", "words").filter("words is not null").groupBy("words").agg(F.max("id").alias("id")).filter("id is null"), "unnamed")
-        key = F.udf(lambda t: hashlib.blake2b(b" ".join(words_of(t.encode())), digest_size=16).hexdigest() if t else None, "string", useArrow=True)
-        out = out.unionByName(alone.withColumn("words", key(F.col(text))).join(words.select("words"), "words", "left_semi").dropDuplicates(["words"]).select(*docs.columns))
-    return out
+    """One document of each class, the one with the least id, with all its columns."""
+    sk, own = sketch(docs, text)
+    sk = written(sk, "sketch")
+    kept = written(_classes(sk, own[id_col], own[text], threshold).filter("kept").select("_row"), "kept")
+    return sk.join(kept, "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
