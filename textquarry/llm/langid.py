@@ -1,14 +1,17 @@
 """Language identification by compression: each language has a zstandard dictionary of raw sample text, and a text belongs
 to the language whose dictionary compresses it best.
 
-Fitting takes a bounded sample: per language the rows with the smallest hash in each of ``samples`` hash slots, and
-``sample_chars`` characters of each. A text is lower-cased, everything that is no letter becomes one space, and it is
+Fitting takes a bounded sample: per language the row with the smallest hash in each of ``samples`` hash slots, and of each up to
+``sample_chars`` characters from a place that a hash chooses in the whole text. The dictionary holds of every sample the same number of bytes, or all it has, so
+that they come to ``dict_bytes`` together. A text is lower-cased, everything that is no letter becomes one space, and it is
 compressed whole, in pieces of ``PIECE`` bytes (a dictionary helps a long text's later parts as much as its first).
 margin = 1 - bytes with the best dictionary / bytes with the second best. A text is accepted if it has a letter and its margin
 is at least ``min_margin``; rejected texts keep their best guess in lang_pred.
 
 Null texts and texts without a letter: lang_pred ``und``, margin 0, not accepted. Equal sizes: the first language in order of
-name. With one language learned the margin is 1; with none everything is ``und``. Rows without an id or a language aren't learned from.
+name. With one language learned the margin is 1; with none everything is ``und``. Rows without an id, a language or a letter aren't learned from; of rows with one id
+the least sample is. More than ``max_languages`` different languages are an error, as their dictionaries are broadcast. Repeated rows are judged alike, very long
+texts whole. Result columns named as in the input replace them.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, batches, bounded_batches, crc_mod, table
 
-SAMPLES = 64
-SAMPLE_CHARS = 2048
+SAMPLES = 128
+SAMPLE_CHARS = 1024
 DICT_BYTES = 32 << 10
+MAX_LANGUAGES = 1000
 PIECE = 4096
 LEVEL = 6
 MIN_MARGIN = 0.001
@@ -44,24 +48,36 @@ def folded(text: bytes | None) -> bytes:
     return b""
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", samples: int = SAMPLES, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw dictionary of each language. Two passes: ids by partial aggregation, then the texts of at most ``samples`` ids a language."""
+def shared_out(parts: list[bytes], size: int) -> bytes:
+    """The parts joined, each cut to the same length where all of them come to more than ``size`` bytes."""
+    parts, low, high = [p for p in parts if p], 0, size
+    while low < high:  # the largest length at which they fit
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if sum(min(len(p), mid) + 1 for p in parts) <= size else (low, mid - 1)
+    return b" ".join(p[:low] for p in parts)[:size]
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", samples: int = SAMPLES, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
+    """Raw dictionary of each language. Two passes: ids by partial aggregation, then a part of the texts of at most ``samples`` ids a language."""
     order = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 40))
-    ids = rows.groupBy(F.col(lang).alias("l"), F.pmod(order, F.lit(samples)).alias("slot")).agg(F.min_by(id_col, order).alias("id")).collect()
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    slots = rows.groupBy(F.col(lang).alias("l"), F.pmod(order, F.lit(samples)).alias("slot")).agg(F.min_by(id_col, order).alias("id"))
+    ids = slots.limit(samples * max_languages + 1).collect()
+    if len({r["l"] for r in ids}) > max_languages or len(ids) > samples * max_languages:
+        raise ValueError(f"there are more than {max_languages} languages")
     if not ids:
         return {}
-    chosen = sorted({r["id"] for r in ids})
+    start = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - sample_chars + 1)).cast("int") + 1
     got = (
-        rows.filter(F.col(id_col).isin(chosen))
+        rows.filter(F.col(id_col).isin(sorted({r["id"] for r in ids})))
         .groupBy(F.col(lang).alias("l"), F.col(id_col).alias("id"))
-        .agg(F.min(F.substring(F.regexp_replace(text, r"\s+", " "), 1, sample_chars)).alias("t"))
+        .agg(F.min(F.substring(F.col(text), start, F.lit(sample_chars))).alias("t"))
         .collect()
     )
     parts: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["l"], str(r["id"]))):
         parts.setdefault(r["l"], []).append(folded(r["t"].encode()))
-    return {k: b" ".join(v)[-dict_bytes:] for k, v in sorted(parts.items()) if any(v)}
+    return {k: shared_out(v, dict_bytes) for k, v in sorted(parts.items()) if any(v)}
 
 
 class Classifier:
@@ -92,7 +108,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.drop(*FOUND)
-    sent = spark.sparkContext.broadcast(dictionaries)  # at most DICT_BYTES a language
+    sent = spark.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES times DICT_BYTES
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(sent.value)
