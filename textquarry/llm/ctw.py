@@ -1,27 +1,29 @@
 """Language-model scores by context-tree weighting over bytes, and a smoothed unigram score beside them.
 
 Every byte is eight binary decisions, most significant bit first, each with its own context tree: its context is the bits of the byte so far, and the
-tree's nodes are the 0 to ``DEPTH`` = 3 bytes before. A node's counts (n0, n1) give its Krichevsky-Trofimov block probability
+tree's nodes are the 0 to ``DEPTH`` = 5 bytes before. A node's counts (n0, n1) give its Krichevsky-Trofimov block probability
 P_e = G(n0 + 1/2) G(n1 + 1/2) / (pi G(n0 + n1 + 1)), and the weighted probability mixes all depths:
 P_w = P_e at a leaf, (P_e + product of the children's P_w) / 2 inside. As P_e depends on counts alone, the corpus is learned from in any
-order: 4-byte counts are summed by Spark over all training texts, and P_w follows from the leaves up. A bit's probability is
+order: 6-byte counts are summed by Spark over all training texts, and P_w follows from the leaves up. A bit's probability is
 w e + (1 - w) (the child's), e the node's KT estimate and w = P_e / (2 P_w), down to the leaf. A text's probability has all its bytes
-and one end; before the text stand three ends. -log2 of it by the bytes is the code length a byte.
+and one end; before the text stand ends. -log2 of it by the bytes is the code length a byte.
 
 The tree keeps every context that the training texts hold; no part of it that grows with them is broadcast. Texts are dealt to chunks of about
-``CHUNK_BYTES``; each chunk sends its distinct 4-byte codes with their training counts to buckets by the last two bytes of the context, so a bucket holds whole
-subtrees from depth 2 down. A first pass sums the buckets' log P_w into the 257 nodes above them (65,536 pairs of floats, for all prefixes), a second
-gives each chunk the probabilities of the codes it sent.
+``CHUNK_BYTES``; each chunk sends its distinct codes (a context and the byte after it) with their training counts to buckets by the last two bytes of the context,
+so a bucket holds whole subtrees from depth 2 down. Counts of a bucket are summed ``FAN`` chunks at a time, round by round, until one row holds them. The
+buckets' log P_w are summed into the 257 nodes above them (65,536 pairs of floats, for all prefixes), and then each bucket gives ``FAN`` chunks at a time the
+probabilities of the codes that they sent.
 
-Word counts are never broadcast either: each chunk sends its distinct words, gets their counts back, and scores its texts. A word or code moves once a chunk,
-however frequent it is.
+Word counts are never broadcast either: each chunk sends its distinct words, which are summed by partial aggregation, gets their counts back, and scores its texts. A
+word or code moves once a chunk, however frequent it is.
 
-Null and empty texts have no words: one token (the end) and the end's probability. Null ids count as the empty id. Repeated rows are texts of their own.
-Without training texts all counts are 0.
+Null and empty texts have no words: one token (the end) and the end's probability. Null ids count as the empty id. Repeated rows are texts of their own. A very long
+text is scored whole, in one chunk. Without training texts all counts are 0. Other columns of the input, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,16 +31,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, crc_mod, table, written
 
-DEPTH = 3
+DEPTH = 5  # 2 to 6
 CHUNK_BYTES = 12 << 20
 BUCKETS = 256
+FAN = 64
 END = 0xFF  # no byte of UTF-8
-_MARK = bytes([END]) * DEPTH
 
 
 # the model
@@ -57,99 +58,18 @@ def _log_kt(n: np.ndarray) -> np.ndarray:
     return _lgamma(n[0] + 0.5) + _lgamma(n[1] + 0.5) - _lgamma(n[0] + n[1] + 1.0) - np.log(np.pi)
 
 
-def _bit_counts(row: np.ndarray, byte: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
-    """[2, rows, 256]: how often the bit after each prefix (1 to 255, the leading one marks its length) was 0 or 1."""
-    out = np.zeros((2, rows, 256))
-    for i in range(8):
-        np.add.at(out, ((byte >> (7 - i)) & 1, row, (1 << i) | (byte >> (8 - i))), n)
-    return out
-
-
-class ContextTree:
-    """The whole model in memory, for small corpora. ``grams``: for each depth d, arrays (context of d bytes * 256 + byte, count); contexts at depths 2 and 3 may be a selection."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        keys, counts = [], []
-        for d, (code, n) in enumerate(grams):
-            ctx = code >> 8
-            k = np.unique(ctx)
-            if d > 1:
-                k = k[np.isin(k & (1 << 8 * (d - 1)) - 1, keys[d - 1])]  # no node without its parent
-            if d == 0:
-                k = np.zeros(1, np.int64)
-            at = np.minimum(np.searchsorted(k, ctx), max(len(k) - 1, 0))
-            ok = k[at] == ctx if len(k) else np.zeros(len(ctx), bool)
-            keys.append(k)
-            counts.append(_bit_counts(at[ok], (code[ok] & 255).astype(np.int64), n[ok].astype(float), len(k)))
-        parent = [None, *(np.searchsorted(keys[d - 1], keys[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, DEPTH + 1))]
-        # from the leaves up: log P_w, the counts that no kept child has, and the mixing weight of each inner node
-        log_w, rest, weight = [None] * (DEPTH + 1), [None] * DEPTH, [None] * DEPTH
-        log_w[DEPTH] = _log_kt(counts[DEPTH])
-        for d in range(DEPTH - 1, -1, -1):
-            below = np.zeros_like(counts[d])
-            np.add.at(below, (slice(None), parent[d + 1]), counts[d + 1])
-            rest[d] = np.maximum(counts[d] - below, 0)
-            inside = _log_kt(rest[d])
-            np.add.at(inside, parent[d + 1], log_w[d + 1])
-            own = _log_kt(counts[d])
-            log_w[d] = np.logaddexp(own, inside) - np.log(2)
-            weight[d] = np.exp(own - log_w[d] - np.log(2))
-        kt = lambda n: (n[1] + 0.5) / (n.sum(0) + 1)
-        rows, self.first = [], []
-        # one row for each leaf: kept contexts of the full depth, and the rest under each inner node
-        for d in range(DEPTH + 1):
-            p, at = (kt(rest[d]), np.arange(len(keys[d]))) if d < DEPTH else (kt(counts[d]), parent[d])
-            up = d if d < DEPTH else d - 1
-            while up >= 0:
-                p = weight[up][at] * kt(counts[up])[at] + (1 - weight[up][at]) * p
-                at = parent[up][at] if up else at
-                up -= 1
-            self.first.append(sum(len(x) for x in rows))
-            rows.append(self._by_byte(p))
-        self.keys = keys
-        self.table = np.concatenate(rows)
-
-    @staticmethod
-    def _by_byte(p1: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte, from the probabilities of its bits."""
-        byte, out = np.arange(256), np.zeros((len(p1), 256))
-        for i in range(8):
-            p = p1[:, (1 << i) | (byte >> (8 - i))]
-            out += np.log10(np.where((byte >> (7 - i)) & 1, p, 1 - p))
-        return out.astype(np.float32)
-
-    def parts(self) -> tuple:
-        return self.keys, self.first, self.table
-
-
-class Scorer:
-    def __init__(self, keys: list[np.ndarray], first: list[int], table_: np.ndarray):
-        at = np.full((256, 256, 256), first[0], np.uint16 if len(table_) < 1 << 16 else np.int32)
-        if len(keys[1]):
-            at[:, :, keys[1]] = first[1] + np.arange(len(keys[1]))
-        at[:, keys[2] >> 8, keys[2] & 255] = first[2] + np.arange(len(keys[2]))
-        at[keys[3] >> 16, (keys[3] >> 8) & 255, keys[3] & 255] = first[3] + np.arange(len(keys[3]))
-        self.at, self.table = at.ravel(), table_.ravel()
-
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        out = np.empty(len(texts))
-        for part in _slices(texts):
-            codes, begins, _ = byte_contexts(texts[part])
-            lp = self.table[(self.at[codes >> 8].astype(np.int64) << 8) | (codes & 255)]
-            out[part] = np.add.reduceat(lp, begins, dtype=np.float64)
-        return out
-
-
 def byte_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each byte of the texts and their ends, with the 3 bytes before it above it: codes, where texts begin, lengths with the end."""
-    x = np.frombuffer(_MARK + b"".join(t + _MARK for t in texts), np.uint8).astype(np.uint32)
-    code = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+    """Each byte of the texts and their ends, with the ``DEPTH`` bytes before it above it: codes, where texts begin, lengths with the end."""
+    mark = bytes([END]) * DEPTH
+    x = np.frombuffer(mark + b"".join(t + mark for t in texts), np.uint8).astype(np.int64)
+    code = np.zeros(len(x) - DEPTH, np.int64)
+    for k in range(DEPTH + 1):
+        code = code << 8 | x[k : len(x) - DEPTH + k]
     lengths = np.array([len(t) for t in texts], np.int64)
-    begins = np.concatenate([[0], np.cumsum(lengths + DEPTH)[:-1]]).astype(np.int64)
-    keep = np.ones(len(code), bool)  # of the three marks after a text only the first is its end
-    ends = begins + lengths
-    keep[ends + 1] = keep[ends + 2] = False
+    ends = np.cumsum(lengths + DEPTH) - DEPTH
+    keep = np.ones(len(code), bool)  # of the marks after a text only the first is its end
+    for k in range(1, DEPTH):
+        keep[ends + k] = False
     return code[keep], np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64), lengths + 1
 
 
@@ -172,8 +92,18 @@ def code_counts(texts: list[bytes], learns: list[bool]) -> tuple[np.ndarray, np.
     return _summed(codes, counts)
 
 
+def coded(texts: list[bytes]) -> tuple[np.ndarray, list[tuple]]:
+    """The distinct codes of the texts, sorted; and for each slice of the texts (slice, its distinct codes, which of them each byte has, where texts begin)."""
+    parts = []
+    for part in _slices(texts):
+        x, begins, _ = byte_contexts(texts[part])
+        found, at = np.unique(x, return_inverse=True)
+        parts.append((part, found, at.astype(np.int32), begins))
+    return np.unique(np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)])), parts
+
+
 def _slices(texts: list[bytes]) -> Iterator[slice]:
-    """Slices of the texts of about 1 MB."""
+    """Slices of the texts of about 1 MB or a longer text."""
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -185,13 +115,34 @@ def _slices(texts: list[bytes]) -> Iterator[slice]:
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    both, at = np.unique(np.concatenate([np.empty(0, np.uint32), *codes]), return_inverse=True)
+    both, at = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_inverse=True)
     return both, np.bincount(at, np.concatenate([np.empty(0), *counts]), len(both)).astype(np.int64)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Integers from 0 up, compressed byte place by byte place."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return struct.pack("<Q", len(x)) + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = struct.unpack_from("<Q", data)[0]
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def packed_codes(x: np.ndarray) -> bytes:
+    """Ascending codes, by their differences."""
+    return packed(np.diff(x, prepend=0))
+
+
+def unpacked_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
+
+
 def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     """By the last two bytes of the context."""
-    return ((codes >> 8 & 0xFFFF).astype(np.int64) * 40503 & 0xFFFF) * buckets >> 16
+    return ((codes >> 8 & 0xFFFF) * 40503 & 0xFFFF) * buckets >> 16
 
 
 # A node's key is its context above the prefix of the byte, 8 bits; its parent's key is the same without the first byte.
@@ -220,7 +171,7 @@ def _estimate(n: np.ndarray) -> np.ndarray:
 
 def subtrees(codes: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], tuple]:
     """From the codes of some depth-2 contexts: (keys, w, estimate) at each depth from ``DEPTH`` to 2, and their sums at depth 1."""
-    c, n = codes[counts > 0].astype(np.int64), counts[counts > 0].astype(float)
+    c, n = codes[counts > 0], counts[counts > 0].astype(float)
     byte = c & 255
     nodes = np.concatenate([c - byte | 1 << i | byte >> 8 - i for i in range(8)])
     k, at = np.unique(nodes, return_inverse=True)
@@ -248,7 +199,7 @@ def top_nodes(k: np.ndarray, n: np.ndarray, below: np.ndarray) -> tuple[np.ndarr
 
 def log_probabilities(codes: np.ndarray, levels: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log10 probability of the last byte of each code after the others. A node without counts has estimate 1/2, and so has all below it."""
-    c = codes.astype(np.int64)
+    c = codes
     byte, out = c & 255, np.zeros(len(c))
     for i in range(8):
         key, p = c - byte | 1 << i | byte >> 8 - i, np.full(len(c), 0.5)
@@ -263,21 +214,40 @@ def log_probabilities(codes: np.ndarray, levels: list, a: np.ndarray, b: np.ndar
     return out.astype(np.float32)
 
 
-def _codes_of(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """What each chunk sent to a bucket, and the sums."""
-    sent = [np.frombuffer(x, np.uint32) for x in t.column("codes").to_pylist()]
-    return sent, *_summed(sent, [np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()])
+def in_memory(learned: list[bytes], texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each text with its end, for corpora that fit in one process."""
+    known = code_counts(learned, [True] * len(learned))
+    levels, top = subtrees(*known)
+    codes, begins, _ = byte_contexts(texts)
+    return np.add.reduceat(log_probabilities(codes, levels, *top_nodes(*top)), begins, dtype=np.float64)
+
+
+def summed_buckets(grams: DataFrame, chunks: int) -> DataFrame:
+    """bucket, codes, counts: a row a bucket, summed ``FAN`` rows at a time."""
+
+    def add(key, t):
+        codes, counts = _summed([unpacked_codes(x) for x in t.column("codes").to_pylist()], [unpacked(x) for x in t.column("counts").to_pylist()])
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "salt": pa.array([key[1].as_py() // FAN], pa.int64()), "codes": pa.array([packed_codes(codes)], pa.binary()), "counts": pa.array([packed(counts)], pa.binary())})
+
+    kind = "bucket bigint, salt bigint, codes binary, counts binary"
+    rows, groups = grams.select("bucket", (F.col("chunk") / FAN).cast("bigint").alias("salt"), "codes", "counts"), chunks
+    while True:
+        rows, groups = written(rows.groupBy("bucket", "salt").applyInArrow(add, kind), "sums"), -(-groups // FAN)
+        if groups <= 1:
+            return rows.drop("salt")
 
 
 def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, buckets: int = BUCKETS) -> DataFrame:
     """``train``: a condition on the rows that are learned from. Returns id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    # the place in the files tells repeated rows apart, so that they can't gather in one chunk
+    spread = F.xxhash64(F.col(id_col), F.col(text), F.input_file_name(), F.input_file_block_start())
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), spread.alias("spread"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(size // chunk_bytes) + 1
-    buckets = max(buckets, chunks // 8)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
+    buckets = min(1 << 16, max(buckets, chunks // 8))
+    dealt = docs.withColumn("chunk", F.pmod("spread", F.lit(chunks))).drop("spread")
 
     def vocabulary(key, t):
         seen: Counter = Counter()
@@ -292,42 +262,54 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "tex
                     seen.setdefault(w, 0)
         codes, counts = code_counts(texts, train)
         home = bucket_of(codes, buckets)
-        used, n = np.unique(home), len(seen)
-        mine = [home == b for b in used]
+        order = np.argsort(home, kind="stable")
+        used, first = np.unique(home[order], return_index=True)
+        n, parts = len(seen), np.split(order, first[1:])
         columns = {
             "chunk": pa.array(np.full(n + len(used), key[0].as_py())),
             "word": pa.array([*seen.keys(), *[None] * len(used)], pa.binary()),
             "n": pa.array([*seen.values(), *[None] * len(used)], pa.int64()),
             "bucket": pa.array([*[None] * n, *used.tolist()], pa.int64()),
-            "codes": pa.array([*[None] * n, *(codes[x].tobytes() for x in mine)], pa.binary()),
-            "counts": pa.array([*[None] * n, *(counts[x].tobytes() for x in mine)], pa.binary()),
+            "codes": pa.array([*[None] * n, *(packed_codes(codes[x]) for x in parts)], pa.binary()),
+            "counts": pa.array([*[None] * n, *(packed(counts[x]) for x in parts)], pa.binary()),
         }
         return pa.table(columns)
 
     sent = written(dealt.groupBy("chunk").applyInArrow(vocabulary, "chunk bigint, word binary, n bigint, bucket bigint, codes binary, counts binary"), "sent")
-    same = W.partitionBy("word")  # at most a row a chunk, however frequent the word
     words = sent.filter("bucket is null")
-    counted = written(words.select("chunk", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first")), "counts")
-    totals = counted.filter("first").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    counted = written(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    totals = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, v = totals["n"] or 0, totals["v"] or 0
     unit = float(np.log10(n_train + v + 1))
 
-    def roots(key, t):
-        k, n, below = subtrees(*_codes_of(t)[1:])[1]
-        return pa.table({"key": k, "n0": n[0], "n1": n[1], "below": below})
-
     grams = sent.filter("bucket is not null").select("chunk", "bucket", "codes", "counts")
-    top = grams.groupBy("bucket").applyInArrow(roots, "key bigint, n0 double, n1 double, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toArrow()
+    model = summed_buckets(grams, chunks)
+
+    def roots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for c, n in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                k, n, below = subtrees(unpacked_codes(c), unpacked(n))[1]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[0]), pa.array(n[1]), pa.array(below)], ["key", "n0", "n1", "below"])
+
+    top = model.select("codes", "counts").mapInArrow(roots, "key bigint, n0 double, n1 double, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toArrow()  # at most 65,536 rows
     key, n0, n1, below = (top.column(c).to_numpy() for c in ("key", "n0", "n1", "below"))
     shared = spark.sparkContext.broadcast(top_nodes(key, np.stack([n0, n1]), below))
 
-    def answer(key, t):
-        parts, codes, counts = _codes_of(t)
-        lp = log_probabilities(codes, subtrees(codes, counts)[0], *shared.value)
-        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "lp": pa.array([lp[np.searchsorted(codes, x)].tobytes() for x in parts], pa.binary())})
-
-    answers = grams.groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket bigint, lp binary")
-    known = counted.select("chunk", "word", "c").unionByName(answers, allowMissingColumns=True)
+    def answer(key, t, m):
+        """What a bucket's model says of the codes that some chunks sent."""
+        if not len(t):
+            return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "lp": pa.array([], pa.binary())})
+        sent = [unpacked_codes(x) for x in t.column("codes").to_pylist()]
+        asked = np.unique(np.concatenate(sent))
+        levels = subtrees(unpacked_codes(m.column("codes")[0].as_py()), unpacked(m.column("counts")[0].as_py()))[0]
+        lp = log_probabilities(asked, levels, *shared.value)
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "lp": pa.array([lp[np.searchsorted(asked, x)].tobytes() for x in sent], pa.binary())})
+
+    salt = (F.col("chunk") / FAN).cast("bigint")
+    copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit((chunks - 1) // FAN)).cast("array<bigint>")))
+    asks = grams.select("chunk", "bucket", "codes", salt.alias("salt"))
+    answers = asks.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(answer, "chunk bigint, bucket bigint, lp binary")
+    known = words.select("chunk", "word").join(counted, "word").select("chunk", "word", "c").unionByName(answers, allowMissingColumns=True)
 
     def score(key, left, right):
         reply = right.column("bucket").is_valid()
@@ -342,14 +324,14 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "tex
             x = np.fromiter(map(log_of.__getitem__, words), float, len(words))
             n_tokens[i], n_known[i], base[i] = len(words), np.count_nonzero(x), x.sum() - len(words) * unit
         # a bucket's answer is in the order of the chunk's codes
-        codes = code_counts(texts, [False] * len(texts))[0]
-        home, lp = bucket_of(codes, buckets), np.empty(len(codes), np.float32)
-        for b, x in zip(replies.column("bucket").to_pylist(), replies.column("lp").to_pylist(), strict=True):
-            lp[home == b] = np.frombuffer(x, np.float32)
+        del log_of, right
+        codes, parts = coded(texts)
+        order, lp = np.argsort(bucket_of(codes, buckets), kind="stable"), np.empty(len(codes), np.float32)
+        by_bucket = sorted(zip(replies.column("bucket").to_pylist(), replies.column("lp").to_pylist(), strict=True))
+        lp[order] = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x, np.float32) for _, x in by_bucket)])
+        del order, by_bucket, replies
         s = np.empty(len(texts))
-        for part in _slices(texts):
-            x, begins, _ = byte_contexts(texts[part])
-            found, at = np.unique(x, return_inverse=True)
+        for part, found, at, begins in parts:
             s[part] = np.add.reduceat(lp[np.searchsorted(codes, found)][at], begins, dtype=np.float64)
         size = np.array([len(t) for t in texts])
         return pa.table({id_col: left.column("id"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(texts), n_train), "base_score": base, "score": s, "bits_per_byte": -s / np.log10(2) / np.maximum(size, 1)})
