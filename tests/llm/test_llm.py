@@ -641,6 +641,20 @@ def test_token_files(spark, tmp_path):
     assert binary_ids.read_shards(spark, binary_ids.write_shards(docs.limit(0), f"file://{tmp_path}/none", path)).count() == 0
 
 
+def test_runs_encode_as_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, r = Tokenizer.from_file(path), random.Random(1)
+    signs = list("aAzZ jJhHtTwWyYİıßſKÅ.,'!1 \n\u1e6f\u030c\u0308\u030a\u0307é日😀\xa0 ")
+    texts = ["".join(r.choices(signs, k=r.randrange(0, 40))) for _ in range(3000)] + [None, ""]
+    ids, sizes = binary_ids.Encoder(path)(pa.array(texts)[1:])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
+    with pytest.raises(ValueError):
+        binary_ids.check_width(path, 1, 1)
+
+
 # op10
 
 
