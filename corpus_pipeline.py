@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the columns of documents.
 Null texts: kept by the toxicity stage (nothing toxic in them), rejected by language ID (no letter). Repeated rows with one id: one stays after
-near-duplicate removal.
+near-duplicate removal for each of its different texts. Columns of any name are returned as they came.
 """
 
 from __future__ import annotations
@@ -10,20 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.llm import decontam, langid, minhash, spm, toxicity
-from textquarry.llm.common import crc_mod, table, written
+from textquarry.llm.common import crc_mod, set_aside, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from their labels outside the held-out fifth, scores at least 0.5 go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod("doc_id", 5) != 0)
     model = toxicity.learn(docs, labels)
-    return toxicity.score_texts(docs, model).filter(f"{toxicity.FOUND[1]} = 0").select(*docs.columns)
+    inside, back = set_aside(docs, toxicity.FOUND)
+    return back(toxicity.score_texts(inside, model).filter(f"{toxicity.FOUND[1]} = 0"))
 
 
 def reject_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose two best languages compress them equally well, go."""
     dictionaries = langid.learn(docs.filter(crc_mod("doc_id", 5) != 0))
-    return langid.classify(docs, dictionaries).filter(langid.FOUND[2]).select(*docs.columns)
+    inside, back = set_aside(docs, langid.FOUND)
+    return back(langid.classify(inside, dictionaries).filter(langid.FOUND[2]))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
