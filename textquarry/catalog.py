@@ -633,7 +633,7 @@ def _(spark, d):
 
 # learning
 
-TOKENS = """, tk as (select _row_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') as w from corpus where _row_id % 3 = 0),
+TOKENS = """, tk as (select _row_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') as w from corpus),
  tm as (select _row_id, unnest(w) as term from tk union all select _row_id, w[i] || ' ' || w[i + 1] from (select _row_id, w, unnest(generate_series(1, len(w) - 1)) as i from tk where len(w) > 1)),
  tf as (select _row_id, term, count(*) as tf from tm group by 1, 2), df as (select term, count(*) as df from tf group by 1),
  raw as (select _row_id, term, tf * (ln((1.0::double + (select count(*) from tk)) / (1.0::double + df)) + 1) as raw from tf join df using (term))"""
@@ -641,7 +641,7 @@ TOKENS = """, tk as (select _row_id, regexp_extract_all(lower(coalesce(text, '')
 
 @query("tfidf_weights", TOKENS + " select _row_id, term, round(raw / sqrt(sum(raw * raw) over (partition by _row_id)), 6) as weight from raw")
 def _(spark, d):
-    return learning.tfidf(corpus(spark, d).filter("_row_id % 3 = 0")).withColumns(r6("weight"))
+    return learning.tfidf(corpus(spark, d)).withColumns(r6("weight"))
 
 
 # probabilities in closed form: a softmax of the first three components of an embedding
@@ -709,25 +709,20 @@ def _(spark, d):
     return learning.classification_report(rows).withColumns(r6("precision", "recall", "f1")).withColumn("support", F.col("support").cast("bigint"))
 
 
-HISTORY = "with h as (select case event_id % 3 when 0 then 'random' when 1 then 'entropy' else 'margin' end as strategy, cast(50 + 20 * (event_id % 5) as bigint) as n_labeled, cast((event_id * 37) % 101 as double) / 101 as f1_macro from events where event_id < 45)"
+HISTORY = "with h as (select case event_id % 3 when 0 then 'random' when 1 then 'entropy' else 'margin' end as strategy, cast(50 + 20 * event_id as bigint) as n_labeled, cast((event_id * 37) % 101 as double) / 101 as f1_macro from events)"
 
 
 @query("sample_savings", HISTORY + ", tg as (select max(f1_macro) as t from h where strategy = 'random'), r as (select strategy, min(n_labeled) as n_needed from h, tg where f1_macro >= t group by 1) select r.strategy, n_needed, b.n as n_random, b.n - n_needed as saved from r, (select n_needed as n from r where strategy = 'random') b", False)
 def _(spark, d):
     k = F.col("event_id")
-    h = table(spark, d, "events").filter("event_id < 45").select(F.when(k % 3 == 0, "random").when(k % 3 == 1, "entropy").otherwise("margin").alias("strategy"), (50 + 20 * (k % 5)).cast("bigint").alias("n_labeled"), (((k * 37) % 101).cast("double") / 101).alias("f1_macro"))
+    h = table(spark, d, "events").select(F.when(k % 3 == 0, "random").when(k % 3 == 1, "entropy").otherwise("margin").alias("strategy"), (50 + 20 * k).cast("bigint").alias("n_labeled"), (((k * 37) % 101).cast("double") / 101).alias("f1_macro"))
     return learning.sample_savings(h)
 
 
-@query("embedding_cosine_topk", "with q as (select vec_id as q, embedding as x from embeddings where vec_id % 100 = 0) select q, vec_id, rank from (select q, vec_id, row_number() over (partition by q order by round(list_cosine_similarity(list_transform(x, lambda v: cast(v as double)), list_transform(embedding, lambda v: cast(v as double))), 9) desc, vec_id) as rank from q, embeddings where q <> vec_id) where rank <= 5", False)
+@query("embedding_cosine_topk", "with q as (select vec_id as q, embedding as x from embeddings where vec_id % 20 = 0) select q, vec_id, rank from (select q, vec_id, row_number() over (partition by q order by round(list_cosine_similarity(list_transform(x, lambda v: cast(v as double)), list_transform(embedding, lambda v: cast(v as double))), 9) desc, vec_id) as rank from q, embeddings where q <> vec_id) where rank <= 5", False)
 def _(spark, d):
-    from pyspark.sql import Window
-
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
-    s = e.join(q, F.col("q") != F.col("vec_id")).select("q", "vec_id", F.round(cosine("x", "embedding"), 9).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))
-    return s.withColumn("rank", rank).filter("rank <= 5").select("q", "vec_id", F.col("rank").cast("bigint").alias("rank"))
+    return learning.nearest(e, e.filter("vec_id % 20 = 0"), 5)
 
 
 def _classes(spark, d):

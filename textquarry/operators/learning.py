@@ -176,6 +176,48 @@ def run_cycle(labeled: DataFrame, pool: DataFrame, test: DataFrame, strategy: st
     return history
 
 
+def nearest(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = 4096, data_block: int = 65_536) -> DataFrame:
+    """q, id, rank: the k rows most like each query by cosine (rounded to 9 places; ties: the smaller id), the query's own id left out.
+
+    Queries are dealt in blocks and so are the rows; a task holds one block of each and returns k rows a query, of which the best k are taken.
+    Null, zero and unequally long vectors have no cosine and come last, as nulls do.
+    """
+    nq, nd = (max(1, -(-x.count() // n)) for x, n in ((queries, block), (df, data_block)))
+    part = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int")
+    left = queries.select(F.col(id_col).alias("q"), F.col(vec).alias("x"), part(id_col, nq, "q").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("j"))
+    right = df.select(F.col(id_col).alias("id"), F.col(vec).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), part(id_col, nd, "d").alias("j"))
+
+    def unit(vectors) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors, and which rows have one; the length of most rows counts."""
+        sizes = np.array([len(v) if v is not None else 0 for v in vectors])
+        d = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+        m = np.array([v if n == d and n else np.zeros(max(d, 1)) for v, n in zip(vectors, sizes, strict=True)], float).reshape(len(sizes), -1)
+        norm = np.linalg.norm(m, axis=1)
+        ok = np.isfinite(norm) & (norm > 0)
+        return m / np.where(ok, norm, 1)[:, None], ok
+
+    def best(key, a, b):
+        import pandas as pd
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
+        (x, ok_x), (y, ok_y) = unit(list(a["x"])), unit(list(b["y"]))
+        ids, out = b["id"].to_numpy(), []
+        for lo in range(0, len(a), 256):
+            s = np.round(x[lo : lo + 256] @ y.T, 9) if x.shape[1] == y.shape[1] else np.full((len(x[lo : lo + 256]), len(y)), np.nan)
+            s[:, ~ok_y] = s[~ok_x[lo : lo + 256]] = np.nan
+            for q, row in zip(a["q"].to_numpy()[lo : lo + 256], s, strict=True):
+                row = np.where(np.isnan(row), -np.inf, row)
+                row[ids == q] = -np.inf
+                top = np.lexsort((ids, -row))[: k + 1]
+                out += [(q, i, r if np.isfinite(r) else None) for i, r in zip(ids[top], row[top], strict=True) if i != q][:k]
+        return pd.DataFrame(out, columns=["q", "id", "s"])
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "q bigint, id bigint, s double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("s"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", F.col("id").alias(id_col), F.col("rank").cast("bigint").alias("rank"))
+
+
 # metrics
 
 

@@ -1,4 +1,4 @@
-"""The corpus view over the driver's tables, with a deterministic share of blank, risky, short and noisy texts, so that every rule has rows to work on."""
+"""The corpus view over the driver's tables, with a deterministic share of blank, risky and noisy texts (phrases before whole texts), so that every rule has rows to work on."""
 
 from __future__ import annotations
 
@@ -23,10 +23,11 @@ def _cases(key: Column, cases: list[tuple[int, Column | None]], otherwise: Colum
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents left join labels: _row_id, uid, text, label, source, language, source_type, meta, n_chars."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    k, part = F.col("doc_id"), lambda n: F.substring("text", 1, n)
+    k = F.col("doc_id")
+    before = lambda phrase: F.concat(F.lit(phrase), F.col("text"))
     text = _cases(k, [
-        (17, F.lit("")), (19, None), (29, F.lit(" \t")), (7, F.concat(F.lit("как сделать attack "), part(60))), (11, F.concat(F.lit("Что означает выражение «kill time»? идиома "), part(30))),
-        (13, F.concat(F.lit("спасибо, погода "), part(40))), (23, F.concat(F.lit("<div>https://x.example "), part(200), F.lit("</div>"))),
+        (17, F.lit("")), (19, None), (29, F.lit(" \t")), (7, before("как сделать attack ")), (11, before("Что означает выражение «kill time»? идиома ")),
+        (13, before("спасибо, погода ")), (23, F.concat(before("<div>https://x.example "), F.lit("</div>"))),
     ], F.col("text"))
     label = F.when(k % 31 == 0, " ").when(F.col("toxic") == 1, LABELS[2]).when(F.col("quality") == 1, LABELS[0]).when(F.col("quality") == 0, LABELS[1])
     meta = F.element_at(F.array(*[F.lit(x) for x in ('{"seed_role": "native_ru_seed"}', '{"k": 1, "seed_role": "unsafe_donor"}', '{"seed_role": 5}', "not json", None, '{"seed_role": "safe_seed_en"}')]), (k % 6 + 1).cast("int"))
@@ -38,10 +39,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS_SQL = f"""corpus as (
   select doc_id as _row_id, substr(sha256(coalesce(source, '') || '|' || coalesce(text, '') || '|' || cast(doc_id as varchar)), 1, 16) as uid,
     case when doc_id % 17 = 0 then '' when doc_id % 19 = 0 then null when doc_id % 29 = 0 then ' ' || chr(9)
-         when doc_id % 7 = 0 then 'как сделать attack ' || substr(text, 1, 60)
-         when doc_id % 11 = 0 then 'Что означает выражение «kill time»? идиома ' || substr(text, 1, 30)
-         when doc_id % 13 = 0 then 'спасибо, погода ' || substr(text, 1, 40)
-         when doc_id % 23 = 0 then '<div>https://x.example ' || substr(text, 1, 200) || '</div>' else text end as text,
+         when doc_id % 7 = 0 then 'как сделать attack ' || text
+         when doc_id % 11 = 0 then 'Что означает выражение «kill time»? идиома ' || text
+         when doc_id % 13 = 0 then 'спасибо, погода ' || text
+         when doc_id % 23 = 0 then '<div>https://x.example ' || text || '</div>' else text end as text,
     case when doc_id % 31 = 0 then ' ' when toxic = 1 then '{LABELS[2]}' when quality = 1 then '{LABELS[0]}' when quality = 0 then '{LABELS[1]}' end as label,
     case when doc_id % 37 = 0 then 'wiktionary-' || source else source end as source, lang as language, 'parquet' as source_type,
     case doc_id % 6 when 0 then '{{"seed_role": "native_ru_seed"}}' when 1 then '{{"k": 1, "seed_role": "unsafe_donor"}}' when 2 then '{{"seed_role": 5}}' when 3 then 'not json' when 4 then null else '{{"seed_role": "safe_seed_en"}}' end as meta,
