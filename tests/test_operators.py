@@ -322,3 +322,74 @@ def test_decisions_stream(spark, tmp_path):
     write("2.json", {"sample_id": "a", "review_status": "corrected", "review_timestamp": "2"})
     decisions.run(spark, folder, state, checkpoint).awaitTermination()
     assert rows(spark.read.parquet(decisions.state_path(state, 1)), "sample_id", "review_status") == [("a", "corrected"), ("b", "skipped")]
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x") for i in range(500)], "k int, t string").repartition(7).sortWithinPartitions("k")
+    df.write.parquet(f"{tmp_path}/t.parquet")
+    df = spark.read.parquet(f"{tmp_path}/t.parquet")
+    got = collect.number_rows(df)
+    assert got.columns == ["k", "t", "_row_id"] and [r["k"] for r in got.orderBy("_row_id").collect()] == [r["k"] for r in df.collect()]
+    assert sorted(r["_row_id"] for r in got.collect()) == list(range(500)) and collect.number_rows(df.limit(0)).count() == 0
+    assert [r["_row_id"] for r in collect.number_rows(df, order=["k"]).orderBy("k").collect()] == list(range(500))
+
+
+def test_quality_step_keeps_one_of_equal_rows(spark, tmp_path):
+    """Tables without uid or row numbers, through the command line."""
+    from textquarry.__main__ import main
+
+    with open(f"{tmp_path}/in.csv", "w") as f:
+        f.write("text,label\n" + "same words here,a\n" * 3 + "other words here,b\nwords of a third,b\n")
+    assert main(["quality", f"{tmp_path}/in.csv", f"{tmp_path}/out.parquet"]) == 0
+    assert sorted(r["text"] for r in spark.read.parquet(f"{tmp_path}/out.parquet").collect()) == ["other words here", "same words here", "words of a third"]
+
+
+@pytest.mark.parametrize("slot", [2, 1000])
+def test_stratified_split_equals_brute_force(spark, monkeypatch, slot):
+    import hashlib
+    import math
+
+    monkeypatch.setattr(sampling, "SLOT", slot)
+    data = [(i, [None, "a", "b"][min(2, i % 5)]) for i in range(300)] + [(900, "one")]
+    for fraction in (0.0, 0.2, 1.0):
+        want = set()
+        for label in {x for _, x in data}:
+            ids = sorted((hashlib.sha256(f"42|{i}".encode()).hexdigest(), i) for i, x in data if x == label)
+            want |= {i for _, i in ids[: math.ceil(len(ids) * fraction)]}
+        got = sampling.split(spark.createDataFrame(data, "_row_id bigint, label string"), fraction, 42, "label")
+        assert got.columns == ["_row_id", "label", "_test"] and {r["_row_id"] for r in got.collect() if r["_test"]} == want and got.count() == len(data)
+
+
+def test_nearest_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(120, 8)).round(2)
+    v[7], v[8] = v[3], v[3]
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)] + [(200, None), (201, [0.0] * 8)], "vec_id bigint, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {}
+    for q in range(0, 120, 20):
+        s = np.round(u @ u[q], 9)
+        want[q] = [i for i in sorted(range(120), key=lambda i: (-s[i], i)) if i != q][:4]
+    for block, rows in ((4096, 65_536), (2, 17)):
+        got = {}
+        for r in learning.nearest(df, df.filter("vec_id % 20 = 0 and vec_id < 200"), 4, block=block, data_block=rows).orderBy("q", "rank").collect():
+            got.setdefault(r["q"], []).append(r["vec_id"])
+        assert got == want
+
+
+def test_a_model_works_after_an_observation(spark):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    rows = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} word{i}", "ab"[i % 2]) for i in range(12)], "_row_id bigint, text string, label string")
+    assert learning.fit(rows).transform(rows).count() == 12
+
+
+def test_unknown_strategy_warns(spark):
+    with pytest.warns(UserWarning):
+        assert quality.apply_missing(spark.range(3), "nonsense", quality.QualityOptions()).count() == 3

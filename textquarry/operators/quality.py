@@ -5,7 +5,8 @@ Rows are identified by an explicit column (``_row_id`` by default), which also o
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import clamp, exact_quantiles, finite
 from ..functions.text import char_length, is_blank, word_count
+from ..sources.tables import staged
 
 ROW_ID = "_row_id"
 MISSING = ("keep", "drop_critical_fill_optional", "drop", "fill", "median")
@@ -75,7 +77,13 @@ def duplicate_count(df: DataFrame, o: QualityOptions) -> DataFrame:
     subset = [c for c in o.duplicate_subset if c in df.columns]
     if not subset:
         return df.sparkSession.createDataFrame([(0,)], "duplicates bigint")
-    return df.groupBy(*subset).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
+    return df.groupBy(combination(df, subset).alias("k")).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
+
+
+def combination(df: DataFrame, subset: list[str]) -> Column:
+    """A digest of the values of some columns, so that whole texts aren't shuffled: equal where they are, nulls like nulls."""
+    real = lambda c: isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    return F.sha2(F.to_json(F.struct(*[(F.col(c) + F.lit(0.0) if real(c) else F.col(c)).alias(c) for c in subset])), 256)
 
 
 def features(df: DataFrame, o: QualityOptions) -> dict[str, Column]:
@@ -90,9 +98,12 @@ def features(df: DataFrame, o: QualityOptions) -> dict[str, Column]:
 def fences(df: DataFrame, o: QualityOptions) -> dict[str, tuple[float, float]]:
     """Feature to (low, high); features without any value have none."""
     feats = features(df, o)
-    if not feats:
-        return {}
-    quartiles = exact_quantiles(df.select(*[c.cast("double").alias(n) for n, c in feats.items()]), list(feats), [0.25, 0.75])
+    return _fences(staged(df.select(*[c.cast("double").alias(n) for n, c in feats.items()])), list(feats), o) if feats else {}
+
+
+def _fences(df: DataFrame, names: list[str], o: QualityOptions) -> dict[str, tuple[float, float]]:
+    """From a table of features; it is read several times, so it should be a written one."""
+    quartiles = exact_quantiles(df, names, [0.25, 0.75])
     return {n: (q1 - o.iqr_k * (q3 - q1), q3 + o.iqr_k * (q3 - q1)) for n, (q1, q3) in quartiles.items() if q1 is not None}
 
 
@@ -107,7 +118,13 @@ def _outside(feats: dict[str, Column], limits: dict[str, tuple[float, float]]) -
 
 def outlier_report(df: DataFrame, o: QualityOptions) -> DataFrame:
     """feature, n_iqr, n_zscore (null unless asked for), and a row ``rows_flagged_iqr_union``."""
-    feats, limits = features(df, o), fences(df, o)
+    feats = features(df, o)
+    rows = staged(df.select(*[c.cast("double").alias(n) for n, c in feats.items()])) if feats else df
+    return _outlier_report(rows, list(feats), o)
+
+
+def _outlier_report(df: DataFrame, names: list[str], o: QualityOptions) -> DataFrame:
+    feats, limits = {n: F.col(n) for n in names}, _fences(df, names, o) if names else {}
     out = _outside(feats, limits)
     sums = [F.count_if(c).alias(f"i{k}") for k, c in enumerate(out.values())]
     sums.append(F.count_if(reduce(lambda a, b: a | b, out.values(), F.lit(False))).alias("any"))
@@ -156,13 +173,24 @@ class Report:
 
 
 def detect(df: DataFrame, o: QualityOptions) -> Report:
-    miss = missing_report(df, o).collect()
-    outliers = {r["feature"]: r for r in outlier_report(df, o).collect()}
+    """One pass over the rows leaves a narrow written table (features, what is missing, label, digest of the duplicate columns); all figures come from that."""
+    fields, feats = data_columns(df, o), features(df, o)
+    subset = [c for c in o.duplicate_subset if c in df.columns]
+    label = F.col(o.label).cast("string") if o.label in df.columns else F.lit(None).cast("string")
+    key = combination(df, subset) if subset else F.lit(None).cast("string")
+    # names of features may be those of columns
+    names = {n: f"x{i}" for i, n in enumerate(feats)}
+    narrow = staged(df.select(*[c.cast("double").alias(names[n]) for n, c in feats.items()], *[is_missing(f).alias(f"m{i}") for i, f in enumerate(fields)], label.alias("label"), key.alias("k")))
+    sums = narrow.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"m{i}").alias(f"m{i}") for i in range(len(fields))]).first()
+    missing = {f.name: sums[f"m{i}"] for i, f in enumerate(fields)}
+    back = {x: n for n, x in names.items()}
+    outliers = {back.get(r["feature"], r["feature"]): r for r in _outlier_report(narrow, list(names.values()), o).collect()}
     union = outliers.pop("rows_flagged_iqr_union")
-    top = imbalance(df, o).collect() if o.label in df.columns else []
+    top = imbalance(narrow, replace(o, label="label")).collect()
+    extra = narrow.groupBy("k").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0] if subset else 0
     return Report(
-        df.count(), {f.name: f.dataType.simpleString() for f in data_columns(df, o)}, {r["column_name"]: r["n_missing"] for r in miss}, {r["column_name"]: r["n_missing"] for r in miss if r["critical"]},
-        duplicate_count(df, o).first()[0], {k: r["n_iqr"] for k, r in outliers.items()}, {k: r["n_zscore"] for k, r in outliers.items()}, union["n_iqr"], tuple(top[0]) if top else None,
+        sums["n"], {f.name: f.dataType.simpleString() for f in fields}, missing, {c: n for c, n in missing.items() if c in (o.text, o.label)},
+        extra, {n: r["n_iqr"] for n, r in outliers.items()}, {n: r["n_zscore"] for n, r in outliers.items()}, union["n_iqr"], tuple(top[0]) if top else None,
     )
 
 
@@ -241,16 +269,19 @@ def apply_missing(df: DataFrame, mode: str, o: QualityOptions) -> DataFrame:
         return fill(df, o)
     if mode == "median":
         return fill_median(df, o)
-    return df  # keep, and names that aren't known
+    if mode != "keep":
+        warnings.warn(f"unknown strategy {mode!r}: missing values stay as they are", stacklevel=2)
+    return df
 
 
 def keep_first(df: DataFrame, o: QualityOptions, last: bool = False) -> DataFrame:
-    """The first row (by row id) of each combination; nulls are equal. A partial aggregate finds the ids, so a frequent combination isn't sorted in one task."""
+    """The first row (by row id, which no two rows share) of each combination; nulls are equal. A partial aggregate finds the ids, so a frequent combination
+    isn't sorted in one task."""
     subset = [c for c in o.duplicate_subset if c in df.columns]
     if not subset:
         return df
     pick = (F.max if last else F.min)(o.row_id)
-    ids = df.groupBy(*subset).agg(pick.alias(o.row_id)).select(o.row_id)
+    ids = df.groupBy(combination(df, subset).alias("_k")).agg(pick.alias(o.row_id)).select(o.row_id)
     return df.join(ids, o.row_id, "left_semi")
 
 
@@ -302,7 +333,6 @@ def compare(before: DataFrame, after: DataFrame, o: QualityOptions) -> DataFrame
 
 def run(df: DataFrame, o: QualityOptions) -> dict:
     """Detect, choose, fix, compare."""
-    df = df.persist()
     report = detect(df, o)
     strategy = choose_strategy(report, o)
     clean = fix(df, strategy, o)

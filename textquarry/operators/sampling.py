@@ -5,10 +5,13 @@ The hash is hex SHA-256 of ``seed|id``, which any SQL engine can repeat. Null gr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW_ID = "_row_id"
+SLOT = 1000
 
 
 def hash_order(seed: int, row_id: str = ROW_ID) -> Column:
@@ -77,13 +80,23 @@ def stratified_sample(df: DataFrame, target: int, group: str = "source", seed: i
 def split(df: DataFrame, fraction: float, seed: int = 42, stratify: str | None = None, row_id: str = ROW_ID) -> DataFrame:
     """Adds ``_test``: true for ceil(fraction * n) rows, of all or of each stratum, in hash order.
 
-    Ranks come from a range sort, not from one window over everything.
+    Ranks come from a range sort, not from one window over everything. Within strata, rows are counted by the first digits of their hash; all below the
+    place where the counts reach the wanted number are in, and only the rows of the digits at that place, about SLOT a stratum, are ranked.
     """
     if stratify is not None:
-        sizes = df.groupBy(stratify).agg(F.ceil(F.count("*") * fraction).alias("_n")).withColumnRenamed(stratify, "_s")
-        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratify).orderBy(hash_order(seed, row_id), F.col(row_id))))
-        out = ranked.join(F.broadcast(sizes), F.col(stratify).eqNullSafe(F.col("_s")))
-        return out.withColumn("_test", F.col("_rank") <= F.col("_n")).drop("_rank", "_n", "_s")
+        digits = max(1, min(8, math.ceil(math.log(max(1, df.count()) / SLOT, 16))))
+        place = F.substring("_h", 1, digits)
+        rows = df.withColumn("_h", hash_order(seed, row_id))
+        counts = rows.groupBy(F.col(stratify).alias("_s"), place.alias("_p")).agg(F.count("*").alias("_c"))
+        by_place = Window.partitionBy("_s").orderBy("_p")
+        marks = counts.withColumns({"_upto": F.sum("_c").over(by_place), "_n": F.ceil(F.sum("_c").over(Window.partitionBy("_s")) * fraction)})
+        edge = marks.filter("_upto >= _n and _upto - _c < _n").select("_s", F.col("_p").alias("_edge"), (F.col("_n") - F.col("_upto") + F.col("_c")).alias("_more"))
+        same = F.col(stratify).eqNullSafe(F.col("_s"))
+        at_edge = rows.join(edge, same & (place == F.col("_edge")))
+        rank = F.row_number().over(Window.partitionBy("_s").orderBy("_h", F.col(row_id)))
+        last = at_edge.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_more")).select("_s", F.struct("_h", row_id).alias("_last"))
+        # a row a stratum; those of fraction 0 have none
+        return rows.join(last, same, "left").withColumn("_test", F.coalesce(F.struct("_h", row_id) <= F.col("_last"), F.lit(False))).drop("_h", "_s", "_last")
     n = df.count()
     k = -(-n * int(round(fraction * 10**6)) // 10**6)
     chosen = df.select(row_id, hash_order(seed, row_id).alias("_h")).orderBy("_h", row_id).limit(k).select(row_id, F.lit(True).alias("_hit"))

@@ -51,7 +51,7 @@ class Folders:
 
 
 DEFAULTS = {
-    "collection": {"max_merged_rows": 1000, "max_rows_per_source": 250},
+    "collection": {"max_merged_rows": None, "max_rows_per_source": None},
     "rewrite": {"enabled": True},
     "quality": {"duplicate_subset": ["text"], "iqr_k": 1.5, "missing": "fill", "duplicates": "drop", "outliers": "drop_iqr"},
     "annotation": {"confidence_threshold": 0.7, "max_review_items": None},

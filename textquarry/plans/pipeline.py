@@ -17,15 +17,22 @@ STOPPED, DONE = 2, 0
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """A stable row id from the uid, for tables that lost theirs."""
-    return df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.xxhash64("uid", "text"))
+    """Row numbers in the order of the file, unlike each other also for equal rows, for tables without any."""
+    return df if ROW_ID in df.columns else collect.number_rows(df, ROW_ID)
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Review results with the order in which they count: by time stamp, then by what was decided, never by how the files are split."""
+    df = read_table(spark, path)
+    by = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("") for c in ("review_timestamp", "review_status", "human_label")]
+    return df.withColumn("_order", F.struct(*by))
 
 
 def collect_step(spark: SparkSession, config: dict, folders: Folders) -> None:
     c = config["collection"]
     frames = [collect.collect_source(spark, s) for s in c["sources"]]
     caps = {s["name"]: s.get("max_rows") or c["max_rows_per_source"] for s in c["sources"]}
-    write_table(collect.merge(frames, c["max_merged_rows"], caps), folders.raw)
+    write_table(collect.merge(frames, c["max_merged_rows"], caps).drop(ROW_ID), folders.raw)  # numbers of a source aren't those of the union
     reports.write(spark, folders.path("reports", "data_summary.md"), eda.markdown(eda.report(read_table(spark, folders.raw))))
 
 
@@ -53,7 +60,7 @@ def annotate_step(spark: SparkSession, config: dict, folders: Folders) -> None:
     write_table(annotate.labelstudio_tasks(labeled), folders.tasks)
     queue = annotate.flag_for_review(labeled, c["confidence_threshold"], c["max_review_items"])
     if exists(spark, folders.results):  # what people have decided stays decided
-        queue = review.preserve_state(queue, read_table(spark, folders.results).withColumn("_order", F.monotonically_increasing_id()), "_order")
+        queue = review.preserve_state(queue, decisions(spark, folders.results), "_order")
     write_table(queue, folders.queue)
     reports.write(spark, folders.path("reports", "annotation_guidelines.md"), annotate.specification(labeled, "prompt classification"))
 
@@ -74,7 +81,7 @@ def gate_step(spark: SparkSession, config: dict, folders: Folders) -> tuple[bool
 
 
 def merge_step(spark: SparkSession, config: dict, folders: Folders) -> None:
-    decided = read_table(spark, folders.results).withColumn("_order", F.monotonically_increasing_id()) if exists(spark, folders.results) else None
+    decided = decisions(spark, folders.results) if exists(spark, folders.results) else None
     write_table(review.merge_decisions(read_table(spark, folders.labeled), decided, order="_order"), folders.final)
 
 

@@ -25,10 +25,19 @@ MAX_PAGES = 5000
 
 
 def number_rows(df: DataFrame, name: str = "_row_id", order: list[str] | None = None) -> DataFrame:
-    """Consecutive numbers from 0 in the order of the file (or of ``order``) without a window over everything: rows are counted by partition first."""
+    """Consecutive numbers from 0 in the order of the file (or of ``order``) without a window over everything: rows are counted by partition first, and a row's
+    number is its place in its partition after those before. Both passes have to see the same partitions, as a scan of files does."""
     df = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    marked = df.withColumn(name, F.monotonically_increasing_id())  # the partition above 33 bits, the place below
+    part = F.shiftright(F.col(name), 33)
+    sizes = sorted(marked.groupBy(part.alias("p")).count().collect())  # a row a partition
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["p"], at))
+        at += r["count"]
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, "_part bigint, _before bigint"))
+    out = marked.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.select(*[c for c in df.columns if c != name], name)
 
 
 def as_label(df: DataFrame, column: str) -> Column:
@@ -274,11 +283,15 @@ def merge(frames: list[DataFrame], max_rows: int | None = None, per_source: dict
     out = out.select(*COLUMNS, *[c for c in out.columns if c not in COLUMNS])
     key = "uid"
     if isinstance(per_source, dict):
-        caps = reduce(lambda acc, kv: F.when(F.col("source") == kv[0], F.lit(kv[1])).otherwise(acc), ((k, row_cap(v)) for k, v in per_source.items() if row_cap(v) is not None), F.lit(None).cast("int"))
-        from pyspark.sql import Window
-
-        ranked = out.withColumn("_rank", F.row_number().over(Window.partitionBy("source").orderBy(hash_order(seed, key), key)))
-        out = ranked.filter(caps.isNull() | (F.col("_rank") <= caps)).drop("_rank")
+        known = {k: row_cap(v) for k, v in per_source.items() if row_cap(v) is not None}
+        if known:
+            caps = reduce(lambda acc, kv: F.when(F.col("source") == kv[0], F.lit(kv[1])).otherwise(acc), known.items(), F.lit(None).cast("int"))
+            capped = F.coalesce(F.col("source").isin(*known), F.lit(False))
+            from pyspark.sql import Window
+
+            # the largest cap is a constant, by which Spark cuts groups before the shuffle; sources without a cap aren't ranked
+            ranked = out.filter(capped).withColumn("_rank", F.row_number().over(Window.partitionBy("source").orderBy(hash_order(seed, key), key)))
+            out = ranked.filter((F.col("_rank") <= max(known.values())) & (F.col("_rank") <= caps)).drop("_rank").unionByName(out.filter(~capped))
     elif per_source is not None:
         out = cap_per_group(out, "source", per_source, seed, key)
     return stratified_sample(out, max_rows, "source", seed, key) if row_cap(max_rows) is not None else out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -53,6 +56,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: str | Non
         raise ValueError(f"no writer for {path!r}")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written once to the folder that the cluster names in spark.checkpoint.dir and read from there. Where there is none (one machine), a temporary
+    folder is set."""
+    sc = df.sparkSession.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
+        top = sc.getCheckpointDir()
+    path = f"{top.rstrip('/')}/textquarry-staged-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def copy_table(spark: SparkSession, source: str, target: str) -> None:
     write_table(read_table(spark, source), target)
 
