@@ -6,17 +6,19 @@ A shard file (little-endian throughout):
   boundaries (Elias-Fano of documents + 1 offsets), document ids (Elias-Fano of id - smallest), ids.
 An Elias-Fano section: uint64 count, uint64 low bits l, uint64 high bits, then l low bits of each value packed, the upper
 parts as a unary bit vector, and the position of every 256th one as uint32. select(i) starts at the sample before i and counts
-bits from there, so offsets come out of about 2 + l bits each without a table of 64-bit offsets.
+bits from there, so offsets come out of about 2 + l bits each without a table of 64-bit offsets; select_range(i, j) reads a stretch of them so.
 
 Documents are dealt by range of (document id, hash of text), so that files hold ascending ids and repeated or null ids can't gather in one
 task; a task starts another file at ``max_ids`` ids. A file is written under a task's own name and then renamed: a repeated task leaves
 the same file. The manifest (a row a file) gives each file's first offset. Files go through pyarrow's file systems to the shared folder.
 
-Null text is empty. Null ids come first. Repeated ids stay, ordered by the hash of their texts. No documents: no files, an empty result.
+Null text is empty. Null ids come first. Repeated ids stay, ordered by the hash of their texts. No documents: no files, an empty result. Very long texts are encoded
+whole and stay in one file. Other columns of the input, whatever their names, aren't written.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +35,8 @@ from .common import BATCH_BYTES, as_bytes, batches, bounded_batches, shared_fold
 
 MAGIC = b"TQEFIDS1"
 SAMPLE = 256
-MAX_IDS = 64 << 20
+MAX_IDS = 16 << 20
+READ_DOCS = 4096
 CACHE_WORDS = 600_000
 ENCODE_AT_ONCE = 4_000
 END_ID = 1
@@ -92,10 +96,19 @@ class EliasFano:
         at = (byte << 3) + (bits & -bits).bit_length() - 1
         return (at - i << self.low) | int(self._lows(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, count=self.size, bitorder="little"))
-        i = np.arange(self.n)
-        return ((ones - i).astype(np.uint64) << np.uint64(self.low)) | self._lows(i)
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1: from the sample before i on, only as many bits are read as they take."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.empty(0, np.uint64)
+        start = int(self.samples[i // SAMPLE])
+        end = int(self.samples[-(-j // SAMPLE)]) + 1 if -(-j // SAMPLE) < len(self.samples) else self.size
+        byte = start >> 3
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : (end + 7) >> 3], bitorder="little")) + 8 * byte
+        ones = ones[ones >= start][i % SAMPLE :][: j - i]
+        at = np.arange(i, j)
+        return ((ones - at).astype(np.uint64) << np.uint64(self.low)) | self._lows(at)
 
 
 # shard files
@@ -121,8 +134,10 @@ class Shard:
         self.least = least
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, at + sizes[0] + sizes[1])
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + ((self.docs.all() + np.uint64(self.least & (1 << 64) - 1)).astype(np.int64)).tolist()
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Of the documents i to j - 1."""
+        known = self.docs.select_range(max(0, i - self.nulls), max(0, j - self.nulls)) + np.uint64(self.least & (1 << 64) - 1)
+        return [None] * max(0, min(j, self.nulls) - i) + known.astype(np.int64).tolist()
 
     def tokens(self, i: int) -> np.ndarray:
         """Ids of the i-th document, by two selects."""
@@ -151,8 +166,12 @@ class Encoder:
         kind = (self.t.pre_tokenizer, self.t.normalizer)
         if self.t.encode("a b", add_special_tokens=False).ids != self.t.encode("a\n  b", add_special_tokens=False).ids or None in kind:
             raise ValueError("this vocabulary keeps white space; its texts can't be encoded run by run")
+        # A-Z can be lower-cased first, but for texts with marks of U+0300 to U+037F: some letters have a form with a mark in lower case only
+        same = self.t.encode_batch_fast(["AZ az", "az az"], add_special_tokens=False)
+        self.lowers = same[0].ids == same[1].ids
         vocab = self.t.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.most = max(vocab.values())
+        self.ends = np.zeros(self.most + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
 
@@ -194,19 +213,42 @@ class Encoder:
         for r, core, tail in signed:
             cache[r] = cache[core] + cache[tail]
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        """Each text's ids as little-endian uint32."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        runs = [t.replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
-        if new := list({r for rs in runs for r in rs if r not in cache}):
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has. Runs are told apart by Arrow; each distinct run of a batch is looked up once."""
+        plain = [(t.lower() if self.lowers and b"\xcc" not in t and b"\xcd" not in t else t).replace(b"\n", b" ") if t else b"" for t in as_bytes(texts)]
+        parts = pc.split_pattern(pa.array(plain, pa.large_binary()), b" ")
+        coded = parts.flatten().dictionary_encode()
+        runs, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.cache) > CACHE_WORDS:  # what these texts use, too, stays
+            self.cache = {r: self.cache[r] for r in runs if r in self.cache}
+        if new := [r for r in runs if r not in self.cache]:
             self.learn(new)
-        return [b"".join(map(cache.__getitem__, rs)) for rs in runs]
+        known = list(map(self.cache.__getitem__, runs))
+        n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(n) - n
+        size = n[which]
+        ends = np.cumsum(size)
+        at = np.repeat(starts[which] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        before = np.concatenate([[0], ends])
+        bounds = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
+        return ids[at], np.diff(before[bounds])
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(tokenizer_file: str) -> Encoder:
+    """One a worker process, which keeps it from task to task."""
+    return Encoder(tokenizer_file)
+
+
+def check_width(tokenizer_file: str, end_id: int, width: int) -> None:
+    if max(Encoder(tokenizer_file).most, end_id) >= 1 << 8 * width:
+        raise ValueError(f"this vocabulary's ids need more than {width} bytes")
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, width: int = 2, max_ids: int = MAX_IDS) -> list[dict]:
-    """Writes the files and returns the manifest: path, documents, ids and first offset of each, in ascending order of document id."""
+    """Writes the files and returns the manifest: path, documents, ids and first offset of each, in ascending order of document id. An id that ``width`` bytes
+    can't hold is an error."""
+    check_width(tokenizer_file, end_id, width)
     bounded_batches(docs.sparkSession)
     _fs(folder)[0].create_dir(_fs(folder)[1], recursive=True)
     tie = F.xxhash64(F.col(text))
@@ -214,12 +256,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str
     kind = f"<u{width}"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = Encoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         attempt = TaskContext.get().taskAttemptId()
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         ids: list[bytes] = []
-        end = struct.pack("<I", end_id)
 
         def flush() -> pa.RecordBatch:
             fs, top = _fs(folder)
@@ -230,15 +271,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str
             row = {"part": part, "seq": seq, "path": f"{folder}/ids-{part:06d}-{seq:04d}.efid", "n_docs": len(doc_ids), "n_ids": sum(lengths)}
             return pa.RecordBatch.from_pylist([row])
 
+        held = 0
         for b in batches(it, BATCH_BYTES // 4):
-            coded = encode(as_bytes(b.column("text")))
-            for i, x in zip(b.column("id").to_pylist(), coded, strict=True):
-                doc_ids.append(i)
-                lengths.append(len(x) // 4 + 1)
-                ids.append(np.frombuffer(x + end, "<u4").astype(kind).tobytes())
-            if sum(lengths) >= max_ids:
+            coded, sizes = encode(b.column("text"))
+            doc_ids += b.column("id").to_pylist()
+            lengths += (sizes + 1).tolist()
+            ids.append(np.insert(coded, np.cumsum(sizes), end_id).astype(kind).tobytes())
+            held += len(coded) + len(sizes)
+            if held >= max_ids:
                 yield flush()
-                doc_ids, lengths, ids, seq = [], [], [], seq + 1
+                doc_ids, lengths, ids, seq, held = [], [], [], seq + 1, 0
         if doc_ids:
             yield flush()
 
@@ -251,7 +293,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str
 
 
 def read_shards(spark, manifest: list[dict], id_col: str = "doc_id") -> DataFrame:
-    """A row a document: id, start, n_tokens, ids_crc32; all from the files."""
+    """A row a document: id, start, n_tokens, ids_crc32; all from the files, with offsets selected from the boundaries ``READ_DOCS`` at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -259,9 +301,11 @@ def read_shards(spark, manifest: list[dict], id_col: str = "doc_id") -> DataFram
                 fs, path = _fs(row["path"])
                 with fs.open_input_stream(path) as f:
                     shard = Shard(f.read())
-                bounds = shard.bounds.all().astype(np.int64)
-                crc = [zlib.crc32(shard.ids[s:e].astype("<u4").tobytes()) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(bounds[:-1] + row["start"]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
+                for i in range(0, shard.n, READ_DOCS):
+                    j = min(i + READ_DOCS, shard.n)
+                    bounds = shard.bounds.select_range(i, j + 1).astype(np.int64)
+                    crc = [zlib.crc32(shard.ids[s:e].astype("<u4").tobytes()) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(i, j), pa.int64()), pa.array(bounds[:-1] + row["start"]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start bigint")
     return files.repartition(max(1, len(manifest))).mapInArrow(run, f"{id_col} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
