@@ -264,9 +264,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         for b in batches(it):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([bag_of(t) for t in as_bytes(b.column("text"))], pa.list_(pa.binary()))], ["id", "bag"])
 
-    got = texts.mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("bag", T.ArrayType(T.BinaryType()))])).collect()  # a row a chosen id
-    rows = sorted((r["id"], [bytes(w) for w in r["bag"]]) for r in got)
-    return fit([b for _, b in rows], [chosen[i] for i, _ in rows])
+    kinds = T.StructType([texts.schema["id"], T.StructField("bag", T.ArrayType(T.BinaryType()))])
+    got = texts.mapInArrow(run, kinds).toArrow().combine_chunks()  # a row a chosen id
+    coded = got.column("bag").combine_chunks()
+    ends, words = np.cumsum(coded.value_lengths().to_numpy()), coded.flatten().dictionary_encode()
+    vocabulary, which = words.dictionary.to_pylist(), words.indices.to_numpy()  # bags share their words
+    rows = sorted(zip(got.column("id").to_pylist(), np.split(which, ends[:-1]), strict=True), key=lambda r: r[0])
+    return fit([[vocabulary[k] for k in bag.tolist()] for _, bag in rows], [chosen[i] for i, _ in rows])
 
 
 def score_texts(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
