@@ -38,12 +38,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/textquarry-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to a shared table once and read from there: lineage ends here, lost executors lose nothing."""
+def written(df: DataFrame, name: str, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """The rows, written to a shared table once and read from there: lineage ends here, lost executors lose nothing. ``scratch`` gets the table, for deletion."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch is not None:
+        scratch.append(out)
+    return out
 
 
 def drop_written(spark: SparkSession, df: DataFrame) -> None:

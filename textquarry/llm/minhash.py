@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, batches, bounded_batches, fresh_names, table, written
+from .common import as_bytes, batches, bounded_batches, drop_written, fresh_names, table, written
 from .components import components
 from .decontam import words_of
 
@@ -170,10 +170,10 @@ def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, scratch: list) -> DataFrame:
     """Pairs of nodes (a, b) with J_P of at least the threshold, from whole texts. b may be frequent; its shingles are kept from row to row."""
-    nodes = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "nodes")
-    texts = written(texts.join(nodes, "node", "left_semi"), "texts")
+    nodes = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "nodes", scratch)
+    texts = written(texts.join(nodes, "node", "left_semi"), "texts", scratch)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _likely_pairs(key, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(pairs), np.concatenate(likely)
 
 
-def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, scratch: list) -> DataFrame:
     """Verified links between components, from buckets of three or more nodes that hold several.
 
     A task has a pair of blocks of one bucket. It takes the likely pairs of different components, the likeliest first, and verifies them on
@@ -216,8 +216,8 @@ def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFra
     A pair that meets in several buckets is taken in its first band alone.
     """
     rows = buckets.filter("n > 2").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = written(rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band"), "mixed")
-    rows = written(rows.join(mixed, "band", "left_semi"), "mixed")
+    mixed = written(rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band"), "mixed", scratch)
+    rows = written(rows.join(mixed, "band", "left_semi"), "mixed", scratch)
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     # a node goes to every pair of blocks that its own is one of; with one block, to that one
@@ -229,8 +229,8 @@ def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFra
         return t.take(pa.array(np.unique(_likely_pairs(key, t)[0]))).select(names)
 
     kind = "band bigint, i int, j int, node bigint, component bigint, mine int, head bigint, sig binary"
-    some = written(rows.join(sigs, "node").select(*names).groupBy("band", "i", "j").applyInArrow(involved, kind), "likely")
-    texts = written(texts.join(some.select("node").distinct(), "node", "left_semi"), "texts")
+    some = written(rows.join(sigs, "node").select(*names).groupBy("band", "i", "j").applyInArrow(involved, kind), "likely", scratch)
+    texts = written(texts.join(some.select("node").distinct(), "node", "left_semi"), "texts", scratch)
 
     def run(key, t):
         node, comp = (t.column(c).to_numpy() for c in ("node", "component"))
@@ -263,24 +263,24 @@ def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFra
     return some.join(texts, "node").select(*names, "text").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def _classes(sk: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
-    """``sk``: a written sketch. Returns _row, id, class_id, kept."""
+def _classes(sk: DataFrame, id_col: str, text: str, threshold: float, scratch: list) -> DataFrame:
+    """``sk``: a written sketch. Returns _row, id, class_id, kept; ``scratch`` gets the tables that it reads."""
     rows = sk.select("_row", F.col(id_col).cast("bigint").alias("id"), "_words", "_hash")
-    copies = written(rows.filter("_words is not null").groupBy("_words").agg(F.min("_row").alias("node")), "copies")
-    rows = written(rows.join(copies, "_words", "left").select("_row", "id", "node", "_hash"), "rows")
+    copies = written(rows.filter("_words is not null").groupBy("_words").agg(F.min("_row").alias("node")), "copies", scratch)
+    rows = written(rows.join(copies, "_words", "left").select("_row", "id", "node", "_hash"), "rows", scratch)
     of_node = sk.withColumnRenamed("_row", "node").join(copies.select("node"), "node")
-    sigs = written(of_node.select("node", F.col("_sig").alias("sig"), F.col("_bands").alias("bands"), F.col("_size").alias("size")), "nodes")
+    sigs = written(of_node.select("node", F.col("_sig").alias("sig"), F.col("_bands").alias("bands"), F.col("_size").alias("size")), "nodes", scratch)
     texts = sk.select(F.col("_row").alias("node"), F.col(text).alias("text"))
     bands = sigs.select("node", "size", F.explode("bands").alias("band"))
-    heads = written(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1"), "heads")
-    buckets = written(bands.drop("size").join(heads, "band"), "buckets")
-    tried = written(buckets.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "tried")
+    heads = written(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1"), "heads", scratch)
+    buckets = written(bands.drop("size").join(heads, "band"), "buckets", scratch)
+    tried = written(buckets.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "tried", scratch)
     sigs = sigs.select("node", "sig")
     # texts of one id are one document
     shared = rows.filter("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("id", "b")
     same = rows.join(shared, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    linked = components(written(_verified(_alike(tried, sigs), texts, threshold), "links").union(same))
-    more = written(_rest(buckets, linked, sigs, texts, threshold), "rest")
+    linked = components(written(_verified(_alike(tried, sigs), texts, threshold, scratch), "links", scratch).union(same))
+    more = written(_rest(buckets, linked, sigs, texts, threshold, scratch), "rest", scratch)
     if more.take(1):
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))  # the stars found so far, not all links again
     worded = rows.filter("node is not null").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -288,7 +288,7 @@ def _classes(sk: DataFrame, id_col: str, text: str, threshold: float) -> DataFra
     # a class's document keeps each of its different texts; a class without ids keeps one
     key = F.when(F.col("class_id").isNotNull(), F.col("node")).otherwise(F.col("component"))
     wordless = rows.filter("node is null").select("_row", "id", "_hash", F.col("id").alias("class_id"), F.when(F.col("id").isNull(), 2).otherwise(1).alias("kind"), F.coalesce("id", "_row").alias("key"))
-    found = written(worded.select("_row", "id", "_hash", "class_id", F.lit(0).alias("kind"), key.alias("key")).union(wordless), "classes")
+    found = written(worded.select("_row", "id", "_hash", "class_id", F.lit(0).alias("kind"), key.alias("key")).union(wordless), "classes", scratch)
     mine = found.filter("id <=> class_id")
     least = mine.groupBy("kind", "key").agg(F.min("_hash").alias("_hash"))
     stays = mine.join(least, ["kind", "key", "_hash"]).groupBy("kind", "key").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("stays"))
@@ -298,15 +298,26 @@ def _classes(sk: DataFrame, id_col: str, text: str, threshold: float) -> DataFra
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row a row of ``docs``: id, class_id, kept (whether ``drop_near_duplicates`` keeps the row)."""
     sk, own = sketch(docs.select(id_col, text), text)
-    return _classes(written(sk, "sketch"), own[id_col], own[text], threshold).select(F.col("id").alias(id_col), "class_id", "kept")
+    scratch: list[DataFrame] = []
+    sk = written(sk, "sketch", scratch)
+    out = written(_classes(sk, own[id_col], own[text], threshold, scratch).select(F.col("id").alias(id_col), "class_id", "kept"), "found")
+    _forget(scratch)
+    return out
+
+
+def _forget(scratch: list[DataFrame]) -> None:
+    for t in scratch:
+        drop_written(t.sparkSession, t)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the least id, with all its columns."""
     sk, own = sketch(docs, text)
-    sk = written(sk, "sketch")
-    kept = written(_classes(sk, own[id_col], own[text], threshold).filter("kept").select("_row"), "kept")
-    return sk.join(kept, "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in own.items()])
+    sk, scratch = written(sk, "sketch"), []
+    kept = written(_classes(sk, own[id_col], own[text], threshold, scratch).filter("kept").select("_row"), "kept")
+    _forget(scratch)
+    # the same join at every size
+    return sk.join(kept.hint("merge"), "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
