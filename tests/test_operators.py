@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text as X
 from textquarry.functions.numeric import exact_quantiles
-from textquarry.operators import annotate, learning, quality, review, rewrite, sampling
+from textquarry.operators import annotate, eda, generate, learning, quality, review, rewrite, sampling
 from textquarry.plans import config
 from textquarry.sources import collect, tables
 
@@ -309,6 +309,7 @@ def test_pipeline_stops_for_review_and_resumes(spark, tmp_path):
     tables.write_table(queue.withColumns({"review_status": F.lit("accepted_auto")}), f.results)
     assert pipeline.run(spark, cfg) == pipeline.DONE
     assert tables.read_table(spark, f.final).filter("reviewed").count() == n
+    assert tables.read_table(spark, f.path("raw/sources", "s.parquet")).count() == 80
     assert "learning curves" in (tmp_path / "out/reports/report.md").read_text()
 
 
@@ -393,3 +394,70 @@ def test_a_model_works_after_an_observation(spark):
 def test_unknown_strategy_warns(spark):
     with pytest.warns(UserWarning):
         assert quality.apply_missing(spark.range(3), "nonsense", quality.QualityOptions()).count() == 3
+
+
+def test_a_busy_service_is_asked_again():
+    asked, slept = [], []
+
+    def call(system, user, tokens):
+        asked.append(tokens)
+        if len(asked) < 4:
+            raise generate.Busy(5.0 if len(asked) == 2 else None)
+        return "ok"
+
+    assert generate.Service(call, wait=1.0).ask("s", "u", 7, slept.append) == "ok" and asked == [7] * 4 and slept == [1.0, 5.0, 4.0]
+    asked.clear()
+    with pytest.raises(generate.Busy):
+        generate.Service(call, retries=2).ask("s", "u", 7, lambda _: None)
+
+
+def test_generators(spark):
+    """The service's text, the rule's where it fails (hybrid), the error (llm), rules without a service."""
+    df = spark.createDataFrame([(1, "u", "кот", '{"seed_role": "r"}', "s"), (2, "v", "пёс", '{"seed_role": "r"}', "s"), (3, "w", None, '{"seed_role": "r"}', "s")], "_row_id bigint, uid string, text string, meta string, source string")
+    o = rewrite.RewriteOptions(policies=(rewrite.Policy("p", ("r",), "generate_borderline_ru"),), keep_original=False, alternative_share=0.0, mode="hybrid")
+
+    def call(system, user, tokens):
+        if "пёс" in user:
+            raise OSError("no route")
+        return f"как правильно ответить на вопрос {tokens}"
+
+    ruled = {r["uid"]: r["text"] for r in rewrite.run(df, o).collect()}
+    got = rewrite.run(df, o, generate.generator(generate.Service(call), "hybrid")).collect()
+    assert len(ruled) == 2 and len(got) == 2
+    texts = {json.loads(r["meta"])["parent_uid"]: r["text"] for r in got}
+    assert texts == {"u": "как правильно ответить на вопрос 512", "v": next(t for t in ruled.values() if "пёс" in t)}
+    assert {json.loads(r["meta"])["rewrite_mode"] for r in got} == {"hybrid"}
+    with pytest.raises(Exception, match="no route"):
+        rewrite.run(df, o, generate.generator(generate.Service(call))).collect()
+    assert generate.generator() is rewrite.rule_generate
+    with pytest.raises(ValueError):
+        generate.generator(mode="llm")
+
+
+def test_lemmas_join_words(spark):
+    df = spark.createDataFrame([("cats cat dogs",), ("dog cats an",), (None,)], "text string")
+    assert [tuple(r) for r in eda.top_words(df, k=2, stop=set(), lemma=lambda w: w.rstrip("s")).collect()] == [("cat", 3), ("dog", 2)]
+    assert [tuple(r) for r in eda.top_words(df, stop={"cat"}, lemma=lambda w: w.rstrip("s")).collect()] == [("dog", 2)]
+
+
+def test_pivot_holds_what_compare_says(spark):
+    df = spark.createDataFrame([(i, ["word " * (1 + i % 4), None, "x"][i % 3], "ab"[i % 2]) for i in range(30)], "_row_id bigint, text string, label string")
+    ways = {"keep": quality.Strategy("keep", "keep", "keep"), "hard": quality.Strategy("drop", "drop", "drop_iqr")}
+    got = {r["metric"]: r.asDict() for r in quality.pivot(df, ways, O).collect()}
+    for name, s in ways.items():
+        after = {r["metric"]: r["after"] for r in quality.compare(df, quality.fix(df, s, O), O).collect()}
+        assert {m: got[m][name] for m in after} == after
+    assert got["rows"]["keep"] == 30 and got["rows"]["hard"] < 30
+
+
+def test_command_line_steps(spark, tmp_path, capsys):
+    from textquarry.__main__ import main
+
+    data = [(i, f"u{i}", f"{'спасибо, погода хорошая' if i % 2 else 'как сделать это'} {i}", "ab"[i % 2], "s", '{"seed_role": "safe_seed_en"}') for i in range(40)]
+    spark.createDataFrame(data, "_row_id bigint, uid string, text string, label string, source string, meta string").write.parquet(f"{tmp_path}/in.parquet")
+    assert main(["rewrite", f"{tmp_path}/in.parquet", f"{tmp_path}/re.parquet"]) == 0 and spark.read.parquet(f"{tmp_path}/re.parquet").count() > 40
+    assert main(["explore", f"{tmp_path}/in.parquet", f"{tmp_path}/eda.md"]) == 0 and "## top_words" in (tmp_path / "eda.md").read_text()
+    assert main(["train", f"{tmp_path}/in.parquet", f"{tmp_path}/model"]) == 0 and "macro avg" in capsys.readouterr().out
+    (tmp_path / "c.yaml").write_text(f"base: {tmp_path}/out\ncollection:\n  sources:\n  - {{type: hf_dataset, name: a/b, path: {tmp_path}/in.parquet, text_column: text}}\n")
+    assert main(["collect", f"{tmp_path}/c.yaml"]) == 0 and spark.read.parquet(f"{tmp_path}/out/raw/sources/a_b.parquet").count() == 40
+    assert spark.read.parquet(f"{tmp_path}/out/raw/merged.parquet").count() == 40

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.feature import StopWordsRemover
@@ -54,11 +55,19 @@ def stopwords(english: bool = True) -> set[str]:
     return words
 
 
-def top_words(df: DataFrame, text: str = "text", k: int = 20, min_length: int = 3, stop: set[str] | None = None) -> DataFrame:
-    """The ``k`` most frequent words of Latin or Cyrillic letters that aren't stop words; ties in order of the word."""
+def top_words(df: DataFrame, text: str = "text", k: int = 20, min_length: int = 3, stop: set[str] | None = None, lemma: Callable[[str], str] | None = None) -> DataFrame:
+    """The ``k`` most frequent words of Latin or Cyrillic letters that aren't stop words; ties in order of the word.
+
+    ``lemma`` gives a word's base form (none: the word itself). It sees each distinct word once; base forms that are short or stop words don't count.
+    """
     stop = stopwords() if stop is None else stop
     words = df.select(F.explode(letter_runs(text)).alias("word")).filter((F.length("word") >= min_length) & ~F.col("word").isin(sorted(stop)))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(k)
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    if lemma is not None:
+        base = F.pandas_udf(lambda w: w.map(lemma), "string")
+        counts = counts.select(base("word").alias("word"), "n").filter((F.length("word") >= min_length) & ~F.col("word").isin(sorted(stop)))
+        counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.orderBy(F.desc("n"), "word").limit(k)
 
 
 def histogram(df: DataFrame, value, bins: int = 50, clip_at: float = 0.99) -> DataFrame:

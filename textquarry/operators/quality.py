@@ -331,6 +331,14 @@ def compare(before: DataFrame, after: DataFrame, o: QualityOptions) -> DataFrame
     return before.sparkSession.createDataFrame(rows, "metric string, before double, after double")
 
 
+def pivot(df: DataFrame, strategies: dict[str, Strategy], o: QualityOptions) -> DataFrame:
+    """metric and a column a strategy: what ``compare`` says of the rows after it (doubles)."""
+    after = {name: _long(detect(fix(df, s, o), o)) for name, s in strategies.items()}
+    share = "imbalance::majority_share"
+    rows = [(m, *(float(a[m]) if m in a else (None if m == share else 0.0) for a in after.values())) for m in sorted(set().union(*after.values()))]
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("metric", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in after]]))
+
+
 def run(df: DataFrame, o: QualityOptions) -> dict:
     """Detect, choose, fix, compare."""
     report = detect(df, o)

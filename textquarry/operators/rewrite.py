@@ -109,6 +109,7 @@ class RewriteOptions:
     language: str | None = "ru"
     alternative_share: float = 0.2
     row_id: str = "_row_id"
+    mode: str = "rule"  # what made the texts, for the meta column
 
 
 def merged(policy: Policy, defaults: Policy) -> Policy:
@@ -247,7 +248,7 @@ def build_rows(validated: DataFrame, o: RewriteOptions, collected_at: Column | N
     none = F.lit(None).cast("string")
     meta = {
         "generation_mode": F.when(n == 1, "single_variant").otherwise("multi_variant"), "generation_variant_count": n, "original_seed_role": F.col("seed_role"), "output_seed_role": role, "parent_uid": text_of("uid"), "raw_generation_preview": F.substring("raw", 1, 240),
-        "rewrite_mode": F.lit("rule"), "rewrite_policy": F.col("policy"), "rewrite_strategy": strategy, "seed_role": role, "validation_notes": F.lit(""), "validation_status": F.lit("accepted"), "variant_idx": F.col("variant"),
+        "rewrite_mode": F.lit(o.mode), "rewrite_policy": F.col("policy"), "rewrite_strategy": strategy, "seed_role": role, "validation_notes": F.lit(""), "validation_status": F.lit("accepted"), "variant_idx": F.col("variant"),
     }
     old = F.from_json(F.col("meta"), "map<string,string>") if "meta" in validated.columns else F.lit(None).cast("map<string,string>")
     old = F.coalesce(old, F.create_map().cast("map<string,string>"))

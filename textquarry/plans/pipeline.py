@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotate, eda, learning, quality, review, rewrite, sampling
+from ..operators import annotate, eda, generate, learning, quality, review, rewrite, sampling
 from ..sources import collect
-from ..sources.tables import copy_table, exists, read_table, write_table
+from ..sources.tables import copy_table, exists, read_table, source_file_name, write_table
 from . import report as reports
 from .config import Folders, with_defaults
 
@@ -30,7 +32,14 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
 
 def collect_step(spark: SparkSession, config: dict, folders: Folders) -> None:
     c = config["collection"]
-    frames = [collect.collect_source(spark, s) for s in c["sources"]]
+    named: dict[str, list[DataFrame]] = {}
+    for s in c["sources"]:
+        named.setdefault(s["name"], []).append(collect.collect_source(spark, s))
+    frames = []
+    for name, parts in named.items():  # a table a source, before any cap
+        path = folders.path("raw/sources", source_file_name(name))
+        write_table(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), path)
+        frames.append(read_table(spark, path))
     caps = {s["name"]: s.get("max_rows") or c["max_rows_per_source"] for s in c["sources"]}
     write_table(collect.merge(frames, c["max_merged_rows"], caps).drop(ROW_ID), folders.raw)  # numbers of a source aren't those of the union
     reports.write(spark, folders.path("reports", "data_summary.md"), eda.markdown(eda.report(read_table(spark, folders.raw))))
@@ -40,7 +49,11 @@ def rewrite_step(spark: SparkSession, config: dict, folders: Folders) -> None:
     if not config["rewrite"].get("enabled", True):
         copy_table(spark, folders.raw, folders.rewritten)
         return
-    write_table(rewrite.run(numbered(read_table(spark, folders.raw)), config["rewrite"].get("options")), folders.rewritten)
+    c = config["rewrite"]
+    o = c.get("options") or rewrite.RewriteOptions()
+    mode = c.get("mode") or ("llm" if c.get("service") else "rule")
+    made = rewrite.run(numbered(read_table(spark, folders.raw)), replace(o, mode=mode), generate.generator(c.get("service"), mode))
+    write_table(made, folders.rewritten)
 
 
 def quality_step(spark: SparkSession, config: dict, folders: Folders) -> None:
