@@ -39,6 +39,7 @@ THRESHOLD = 0.8
 REGISTERS, BANDS = 64, 16
 LIKELY = 0.6  # an estimate from 64 registers, 4 standard deviations below the threshold
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
+SALTS = 256
 
 U = np.uint64
 _GOLD, _A, _B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -263,11 +264,18 @@ def _rest(buckets: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFra
     return some.join(texts, "node").select(*names, "text").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
+def _told(rows: DataFrame, key: str, side: DataFrame) -> DataFrame:
+    """The rows with what ``side`` (one row a key) says of their key, or nulls. A key's rows are dealt over SALTS places, so those of a frequent key meet in no one task."""
+    rows = rows.withColumn("_salt", F.pmod("_row", F.lit(SALTS)))
+    places = rows.filter(F.col(key).isNotNull()).select(key, "_salt").distinct().join(side, key)
+    return rows.join(places, [key, "_salt"], "left").drop("_salt")
+
+
 def _classes(sk: DataFrame, id_col: str, text: str, threshold: float, scratch: list) -> DataFrame:
     """``sk``: a written sketch. Returns _row, id, class_id, kept; ``scratch`` gets the tables that it reads."""
     rows = sk.select("_row", F.col(id_col).cast("bigint").alias("id"), "_words", "_hash")
     copies = written(rows.filter("_words is not null").groupBy("_words").agg(F.min("_row").alias("node")), "copies", scratch)
-    rows = written(rows.join(copies, "_words", "left").select("_row", "id", "node", "_hash"), "rows", scratch)
+    rows = written(_told(rows, "_words", copies).select("_row", "id", "node", "_hash"), "rows", scratch)
     of_node = sk.withColumnRenamed("_row", "node").join(copies.select("node"), "node")
     sigs = written(of_node.select("node", F.col("_sig").alias("sig"), F.col("_bands").alias("bands"), F.col("_size").alias("size")), "nodes", scratch)
     texts = sk.select(F.col("_row").alias("node"), F.col(text).alias("text"))
@@ -283,15 +291,14 @@ def _classes(sk: DataFrame, id_col: str, text: str, threshold: float, scratch: l
     more = written(_rest(buckets, linked, sigs, texts, threshold, scratch), "rest", scratch)
     if more.take(1):
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))  # the stars found so far, not all links again
-    worded = rows.filter("node is not null").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    worded = worded.join(worded.groupBy("component").agg(F.min("id").alias("class_id")), "component")
+    worded = written(_told(rows.filter("node is not null"), "node", linked).withColumn("component", F.coalesce("component", "node")), "worded", scratch)
+    worded = _told(worded, "component", worded.groupBy("component").agg(F.min("id").alias("class_id")))
     # a class's document keeps each of its different texts; a class without ids keeps one
     key = F.when(F.col("class_id").isNotNull(), F.col("node")).otherwise(F.col("component"))
     wordless = rows.filter("node is null").select("_row", "id", "_hash", F.col("id").alias("class_id"), F.when(F.col("id").isNull(), 2).otherwise(1).alias("kind"), F.coalesce("id", "_row").alias("key"))
     found = written(worded.select("_row", "id", "_hash", "class_id", F.lit(0).alias("kind"), key.alias("key")).union(wordless), "classes", scratch)
-    mine = found.filter("id <=> class_id")
-    least = mine.groupBy("kind", "key").agg(F.min("_hash").alias("_hash"))
-    stays = mine.join(least, ["kind", "key", "_hash"]).groupBy("kind", "key").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("stays"))
+    least = found.filter("id <=> class_id").groupBy("kind", "key").agg(F.min(F.struct("_hash", "_row")).alias("least"))
+    stays = least.select("least._row", F.lit(True).alias("stays"))
     return found.join(stays, "_row", "left").select("_row", "id", "class_id", F.coalesce("stays", F.lit(False)).alias("kept"))
 
 
