@@ -523,3 +523,68 @@ def test_command_line_steps(spark, tmp_path, capsys):
     (tmp_path / "c.yaml").write_text(f"base: {tmp_path}/out\ncollection:\n  sources:\n  - {{type: hf_dataset, name: a/b, path: {tmp_path}/in.parquet, text_column: text}}\n")
     assert main(["collect", f"{tmp_path}/c.yaml"]) == 0 and spark.read.parquet(f"{tmp_path}/out/raw/sources/a_b.parquet").count() == 40
     assert spark.read.parquet(f"{tmp_path}/out/raw/merged.parquet").count() == 40
+
+
+def _mixed(spark, n=240):
+    r = np.random.default_rng(5)
+    own = {"p": ["good", "fine", "nice"], "n": ["bad", "poor", "awful"], "q": ["odd", "even", "prime"]}
+    every = [w for x in own.values() for w in x]
+    rows = [(i, " ".join([*r.choice(own["pnq"[i % 3]], 3), *r.choice(every, 4), f"Слово{i % 9}", "x"]) if i % 17 else " . ", "pnq"[i % 3]) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, rows[3][1], None), (n + 1, rows[3][1], "p")], "_row_id bigint, text string, label string").coalesce(3)
+
+
+@pytest.mark.parametrize("features", [20_000, 40])
+def test_word_model_is_the_model_of_fit(spark, monkeypatch, features):
+    df = _mixed(spark)
+    monkeypatch.setattr(learning, "MAX_FEATURES", features)
+    rows = learning.prepared(df).toArrow()
+    fitted = learning.fit(df, max_features=features)
+    stages = fitted.pipeline.stages
+    same = learning.wordmodel.from_terms(stages[3].vocabulary, stages[4].getScalingVec().toArray(), stages[-1].coefficientMatrix.toArray(), stages[-1].interceptVector.toArray(), fitted.labels)
+    want = {r[0]: r[1] for r in fitted.transform(df).select("_row_id", "proba").collect()}
+    texts = rows[learning.WORDS].combine_chunks()
+    assert len(same.keys) == len(stages[3].vocabulary) <= features
+    assert all(max(abs(a - b) for a, b in zip(want[i], p, strict=True)) < 1e-9 for i, p in zip(rows["_row_id"].to_pylist(), same.probabilities(texts), strict=True))
+    if features == 20_000:  # no ties at the end of the vocabulary
+        assert abs(learning._learned(rows).probabilities(texts) - same.probabilities(texts)).max() < 1e-4
+
+
+@pytest.mark.parametrize("strategy", ["entropy", "margin"])
+def test_a_pass_gives_the_figures_and_the_first_rows_of_rank(spark, monkeypatch, strategy):
+    df = _mixed(spark)
+    monkeypatch.setattr(learning.wordmodel, "SLICE_BYTES", 500)
+    fitted, rows = learning.fit(df), learning.prepared(df)
+    stages = fitted.pipeline.stages
+    model = learning.wordmodel.from_terms(stages[3].vocabulary, stages[4].getScalingVec().toArray(), stages[-1].coefficientMatrix.toArray(), stages[-1].interceptVector.toArray(), fitted.labels)
+    pairs, ids = learning._scored(model, rows.filter("_row_id % 3 < 2"), rows.filter("_row_id % 2 = 0"), strategy, 30, "_row_id")
+    assert learning._figures(pairs) == learning.evaluate(fitted, df.filter("_row_id % 3 < 2"))
+    scored = learning.with_uncertainty(fitted.transform(df.filter("_row_id % 2 = 0"))).select("_row_id", F.round("uncertainty", 9).alias("uncertainty"), F.round("margin", 9).alias("margin"))
+    assert ids == [r[0] for r in learning.rank(scored, strategy).limit(30).collect()]
+
+
+@pytest.mark.parametrize("strategy", ["random", "entropy", "margin"])
+def test_cycle_in_few_jobs_and_the_same_by_spark(spark, monkeypatch, strategy):
+    df = _mixed(spark)
+    start, left, test = (learning.staged(learning.prepared(df.filter(x))) for x in ("_row_id < 12", "_row_id >= 12 and _row_id % 4 > 0", "_row_id >= 12 and _row_id % 4 = 0"))
+    spark.sparkContext.setJobGroup(f"cycle-{strategy}", "")
+    here = learning.run_cycle(start, left, test, strategy, iterations=3, batch=6)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"cycle-{strategy}")
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(jobs) <= 12 and [h["n_labeled"] for h in here] == [12, 18, 24] and here[0]["accuracy"] > 0.5
+    if strategy == "random":  # the batches do not depend on the model
+        monkeypatch.setattr(learning, "HERE_CHARS", 0)
+        assert learning.run_cycle(start, left, test, strategy, iterations=3, batch=6) == here
+
+
+def test_cycle_with_one_class_gives_a_note_and_no_error(spark):
+    df = _mixed(spark)
+    got = learning.run_cycle(df.filter("_row_id in (0, 3)"), df.filter("_row_id > 3"), df, "entropy", iterations=3, batch=6)
+    assert len(got) == 1 and got[0]["n_labeled"] == 2 and got[0]["f1_macro"] != got[0]["f1_macro"] and "note" in got[0]
+
+
+def test_split_of_few_strata_moves_no_texts(spark):
+    df = spark.createDataFrame([(i, f"text {i}", "pnq"[i % 3]) for i in range(300)], "_row_id bigint, text string, label string")
+    kept = sampling.split(df, 0.2, 42, "label", few=True)
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in sampling.split(df, 0.2, 42, "label").collect()}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if " Exchange hashpartitioning" in x and "text" in x] and "SortMergeJoin" not in plan

@@ -56,9 +56,9 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: str | Non
         raise ValueError(f"no writer for {path!r}")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that the cluster names in spark.checkpoint.dir and read from there. Where there is none (one machine), a temporary
-    folder is set."""
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows, written once to the folder that the cluster names in spark.checkpoint.dir and read from there; ``by`` partitions it. Where there is none (one
+    machine), a temporary folder is set."""
     sc = df.sparkSession.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
@@ -67,7 +67,7 @@ def staged(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
         top = sc.getCheckpointDir()
     path = f"{top.rstrip('/')}/textquarry-staged-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
